@@ -2,10 +2,12 @@
 
 from sonoframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from sonoframe.llm.mixing import OP2_SQL, op2_source_mix
+from sonoframe.llm.simhash import op5_simhash_near_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,

@@ -72,6 +72,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return near.unionByName(far)
 
 
+def without_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """The rows whose key has no line in ``groups``; safe with hot keys as join_groups is."""
+    limit = max(1, math.ceil(total * HOT_SHARE))
+    hot, cold = groups.where(F.col(size) >= limit).select(key), groups.where(F.col(size) < limit).select(key)
+    return rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_merge"), key, "left_anti")
+
+
 class WordTable:
     """Keeps one row of numbers for each distinct word seen by this worker, so that a word is worked out once.
 
