@@ -4,6 +4,8 @@ The index is a table of SHA-256 digests, bucketed and sorted by digest. A batch
 digest, the known digests go in a sort-merge anti-join that needs no shuffle of the index, and the new ones are
 appended. Digests alone are shuffled, never texts.
 
+Adding a batch again, say after a crash, gives the same rows again: a document that the index records stays.
+
 Defined cases: a null text counts as empty; equal texts keep the row with the largest id, or, once a text is in the
 index, the document recorded there; of rows that repeat that id with the same text exactly one is kept; ids may be null
 (they lose against any other); an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -62,8 +64,7 @@ class DigestIndex:
 
     def add(self, groups: DataFrame) -> None:
         """Append those of the groups (digest, keep_id) that the index lacks. Adding the same again changes nothing."""
-        new = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        self._write(keep(new, "new-digests"))
+        self._write(groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
         self.spark.catalog.refreshTable(self.name)
 
 
@@ -78,24 +79,16 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id"
         "digests",
     )
     largest = F.max(F.struct("doc_id", "row_id"))
-    groups = keep(rows.groupBy("digest").agg(largest.alias("last"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
-    before = index.table().select("digest", F.lit(True).alias("known"))
-    new = groups.join(before.hint("merge"), "digest", "left_anti")
-    fresh = keep(new.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.row_id").alias("row_kept")), "new-digests")
-    index._write(fresh)
-    index.spark.catalog.refreshTable(index.name)
-    settled = (
-        groups.join(index.table().hint("merge"), "digest")
-        .join(fresh.select("digest", "row_kept").hint("merge"), "digest", "left")
-        .select("digest", "keep_id", "group_size", "row_kept")
-    )
-    settled = keep(settled, "settled-digests")
+    groups = rows.groupBy("digest").agg(largest.alias("last"), F.count(F.lit(1)).alias("group_size"))
+    index.add(groups.select("digest", F.col("last.doc_id").alias("keep_id")))
+    settled = keep(groups.join(index.table().hint("merge"), "digest"), "settled-digests")
     out = join_groups(rows, settled, "digest", "group_size", rows.count())
+    stays = (F.col("row_id") == F.col("last.row_id")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("row_id") == F.col("row_kept"), F.lit(False)).alias("kept"),
+        stays.alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
