@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,37 +81,49 @@ def without_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
     return rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_merge"), key, "left_anti")
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = found = len(self)
+        self.new.append(key)
+        return found
+
+
 class WordTable:
     """Keeps one row of numbers for each distinct word seen by this worker, so that a word is worked out once.
 
-    ``make`` turns a list of new words into the list of their rows (arrays of any length). At ``limit`` words the
-    table starts afresh, which bounds its memory."""
+    ``make`` turns a list of new words into their rows, one after another, and the length of each. Above ``limit``
+    words the table starts afresh, which bounds its memory."""
 
-    def __init__(self, make: Callable[[list], list[np.ndarray]], dtype, limit: int = 400_000):
+    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 400_000):
         self.make, self.dtype, self.limit = make, dtype, limit
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict = {}
+        self.at = _Numbered()
+        self.at.new = []
         self.size = np.zeros(0, np.int64)
         self.begin = np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.dtype)
 
     def places(self, words: list) -> np.ndarray:
-        """Row numbers of the words; unknown ones are added first."""
-        new = list(set(words).difference(self.at))
-        if len(self.at) + len(new) > self.limit and self.at:
+        """Row numbers of the words; unknown ones are added."""
+        if len(self.at) > self.limit:
             self.clear()
-            new = list(set(words))
-        if new:
-            made = self.make(new)
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            begin = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            values, size = self.make(self.at.new)
+            self.at.new = []
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.begin = np.concatenate([self.begin, begin])
-            self.pool = np.concatenate([self.pool, *made]) if made else self.pool
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            self.pool = np.concatenate([self.pool, values])
+        return found
+
+    def places_of(self, words: pa.Array) -> np.ndarray:
+        """As places, but only the distinct words of the array become Python strings."""
+        coded = words.dictionary_encode()
+        return self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
 
     def joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All the words' rows one after another, and the length of each."""
@@ -117,23 +131,21 @@ class WordTable:
         return self.pool[ragged(self.begin[places], size)], size
 
 
+def pieces_between(texts: pa.Array, mark: str) -> tuple[pa.Array, np.ndarray]:
+    """What lies between the marks of each text, all in one array, and the number of pieces of each text."""
+    cut = pc.split_pattern(texts, mark)
+    return cut.flatten(), pc.list_value_length(cut).to_numpy().astype(np.int64)
+
+
+def totals(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values."""
+    ends = np.concatenate([[0], np.cumsum(values)])[np.cumsum(sizes)]
+    return np.diff(ends, prepend=0)
+
+
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices begin[i], begin[i] + 1, ... for each i, size[i] of them, one after another."""
     ends = np.cumsum(size)
     if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
     return np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-
-
-def in_bounded_lists(items: Iterator, weight: Callable, most: int) -> Iterator[list]:
-    """Consecutive items in lists of bounded total weight (one item may weigh more)."""
-    out, total = [], 0
-    for x in items:
-        w = weight(x)
-        if out and total + w > most:
-            yield out
-            out, total = [], 0
-        out.append(x)
-        total += w
-    if out:
-        yield out

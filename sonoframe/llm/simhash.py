@@ -178,7 +178,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = as_words(b.column(1).to_pylist(), words)
+            fps = as_words(b.column(1).to_numpy(zero_copy_only=False), words)
             bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), 8 * words), axis=1)
             keys = []
             for no, p in enumerate(short):
@@ -188,7 +188,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
                 keys.append(mixed(wide.view(np.uint64)[:, 0], no + 1).view(np.int64))
             n, m = len(fps), len(short)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.tile(b.column(0).to_numpy(), m)), pa.array(b.column(1).to_pylist() * m, pa.binary())], ["block", "node", "fp"]
+                [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.tile(b.column(0).to_numpy(), m)), pa.concat_arrays([b.column(1)] * m)], ["block", "node", "fp"]
             )
 
     def linked(lab: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
     def solve(t: pa.RecordBatch) -> pa.RecordBatch:
         block, node = t.column(0).to_numpy(), t.column(1).to_numpy()
         begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        find = Links(as_words(t.column(2).to_pylist(), words), most)
+        find = Links(as_words(t.column(2).to_numpy(zero_copy_only=False), words), most)
         find.pairs_in_runs(begin, np.diff(np.append(begin, len(block))))
         return linked(find.label, node)
 
