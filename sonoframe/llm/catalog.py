@@ -3,12 +3,14 @@
 from sonoframe.llm.bpe import op6_bpe_round_trip
 from sonoframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from sonoframe.llm.mixing import OP2_SQL, op2_source_mix
+from sonoframe.llm.quality_classifier import op4_quality_classifier
 from sonoframe.llm.simhash import op5_simhash_near_dedup
 from sonoframe.llm.token_store import op7_token_store
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_token_store": op7_token_store,
