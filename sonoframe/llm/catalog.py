@@ -2,6 +2,7 @@
 
 from sonoframe.llm.bpe import op6_bpe_round_trip
 from sonoframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sonoframe.llm.language_id import op8_language_id
 from sonoframe.llm.mixing import OP2_SQL, op2_source_mix
 from sonoframe.llm.quality_classifier import op4_quality_classifier
 from sonoframe.llm.simhash import op5_simhash_near_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_token_store": op7_token_store,
+    "op8_language_id": op8_language_id,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
