@@ -18,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Groups holding this share of all rows or more are hot; there are at most 1 / HOT_SHARE of them, so they can be broadcast.
 HOT_SHARE = 0.001
+#: Rows of a narrow table in one written file, about.
+FILE_ROWS = 200_000
 #: Rows in one Arrow batch sent to Python: texts may be long, so batches stay short.
 BATCH_ROWS = 500
 
@@ -35,10 +37,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: its lineage ends there, and a lost executor costs no recomputation."""
+def keep(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it again: its lineage ends there, and a lost executor costs no recomputation.
+
+    ``rows``, if known, is about the number of rows; a narrow table of few rows then makes few files."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -78,12 +78,13 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id"
         ),
         "digests",
     )
+    total = rows.count()
     largest = F.max(F.struct("doc_id", "row_id"))
     # Written, since an anti-join would else be pushed below the aggregation, where the rows of a hot digest meet.
-    groups = keep(rows.groupBy("digest").agg(largest.alias("last"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
+    groups = keep(rows.groupBy("digest").agg(largest.alias("last"), F.count(F.lit(1)).alias("group_size")), "digest-groups", total)
     index.add(groups.select("digest", F.col("last.doc_id").alias("keep_id")))
-    settled = keep(groups.join(index.table().hint("merge"), "digest"), "settled-digests")
-    out = join_groups(rows, settled, "digest", "group_size", rows.count())
+    settled = keep(groups.join(index.table().hint("merge"), "digest"), "settled-digests", total)
+    out = join_groups(rows, settled, "digest", "group_size", total)
     stays = (F.col("row_id") == F.col("last.row_id")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select(
         "doc_id",

@@ -58,11 +58,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
     rows = rows.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = keep(rows, "sizes")
-    buckets = max(1024, rows.count() // BUCKET_ROWS)
+    n = rows.count()
+    buckets = max(1024, n // BUCKET_ROWS)
     bucket = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * buckets, 32)
     # The queue's name: no null, and in the order of code points.
     rows = rows.withColumn("queue", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source").cast("string")))).withColumn("bucket", bucket)
-    sums = keep(rows.groupBy("queue", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "bucket-sums")
+    sums = keep(rows.groupBy("queue", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "bucket-sums", n)
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share)
     queue = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("source").cast("string")))
     earlier = W.partitionBy("queue").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

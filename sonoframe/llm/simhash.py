@@ -246,12 +246,13 @@ def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, exact: b
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links lead to)."""
     spark = docs.sparkSession
     rows = keep(fingerprints(docs, k, words, id_col, text_col), "fingerprints")
-    distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    total, n = rows.count(), distinct.count()
+    total = rows.count()
+    distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
+    n = distinct.count()
     parts = exact_parts(n, 64 * words, most) if exact else banded_parts(n, 64 * words, most / (64 * words))
-    found = connected_components(keep(block_links(spark, distinct, parts, words, most), "links"))
+    found = connected_components(block_links(spark, distinct, parts, words, most))
     settled = distinct.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    return join_groups(rows, keep(settled, "components"), "fp", "n", total).select("doc_id", "fp", "component_id")
+    return join_groups(rows, keep(settled, "components", n), "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
