@@ -3,8 +3,10 @@
 from sonoframe.llm.bpe import op6_bpe_round_trip
 from sonoframe.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from sonoframe.llm.language_id import op8_language_id
+from sonoframe.llm.license_scan import op10_license_scan
 from sonoframe.llm.mixing import OP2_SQL, op2_source_mix
 from sonoframe.llm.quality_classifier import op4_quality_classifier
+from sonoframe.llm.quality_rules import OP9_SQL, op9_quality_rules
 from sonoframe.llm.simhash import op5_simhash_near_dedup
 from sonoframe.llm.token_store import op7_token_store
 
@@ -16,8 +18,11 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_token_store": op7_token_store,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_source_mix": OP2_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
