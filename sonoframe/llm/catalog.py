@@ -9,10 +9,12 @@ from sonoframe.llm.quality_classifier import op4_quality_classifier
 from sonoframe.llm.quality_rules import OP9_SQL, op9_quality_rules
 from sonoframe.llm.simhash import op5_simhash_near_dedup
 from sonoframe.llm.token_store import op7_token_store
+from sonoframe.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
@@ -24,5 +26,6 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_source_mix": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
     "op9_quality_rules": OP9_SQL,
 }
