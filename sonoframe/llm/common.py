@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Groups holding this share of all rows or more are hot; there are at most 1 / HOT_SHARE of them, so they can be broadcast.
 HOT_SHARE = 0.001
+#: Keys that may be broadcast, after they were counted.
+FEW_KEYS = 200_000
 #: Rows of a narrow table in one written file, about.
 FILE_ROWS = 200_000
 #: Rows in one Arrow batch sent to Python: texts may be long, so batches stay short.
@@ -85,6 +88,15 @@ def without_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
     return rows.join(F.broadcast(hot), key, "left_anti").join(cold.hint("shuffle_merge"), key, "left_anti")
 
 
+def without_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that equal no line of ``keys`` (null equals null) in its columns. Few keys are counted and then broadcast,
+    so that rows with long texts stay where they are; more meet in a shuffled join."""
+    few = keys.count() <= FEW_KEYS
+    keys = keys.select([F.col(c).alias(f"_drop_{c}") for c in keys.columns])
+    same = reduce(Column.__and__, [F.col(c.removeprefix("_drop_")).eqNullSafe(F.col(c)) for c in keys.columns])
+    return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), same, "left_anti")
+
+
 class _Numbered(dict):
     """Numbers its keys in the order in which they are first asked for."""
 

@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import fresh_path, full_text, join_groups, keep, partitions
+from sonoframe.llm.common import fresh_path, full_text, join_groups, keep, partitions, without_rows
 
 
 class DigestIndex:
@@ -97,17 +97,17 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id"
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose text is new: one row for each text, with the columns it came with."""
-    judged = exact_duplicates(docs, index, id_col, text_col).where("kept")
-    kept = judged.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"))
+    judged = keep(exact_duplicates(docs, index, id_col, text_col), "judged")
+    pair = [F.col("doc_id").alias(id_col), F.col("text_sha256").alias("_digest")]
+    counted = judged.groupBy(*pair).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marked = docs.withColumn("_digest", F.sha2(full_text(F.col(text_col)), 256))
-    found = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")))
-    # Rows that repeat an id and its text are few or equal, so this pre-aggregates before it shuffles; others pass by.
-    again = keep(docs.groupBy(F.col(id_col).cast("long").alias("_again")).count().where("count > 1").select("_again"), "repeated-ids")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_again"))
+    found = without_rows(marked, counted.where("NOT kept").select(id_col, "_digest"))
+    # Rows that repeat an id and its text, of which one stays: aggregated before they are shuffled; all others pass by.
+    again = keep(counted.where("kept AND n > 1").select(id_col, "_digest"), "repeated-rows")
     if again.isEmpty():
         return found.select(*docs.columns)
-    once = found.join(again, same, "left_semi").dropDuplicates([id_col, "_digest"])
-    return found.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
+    once = without_rows(found, counted.where("n = 1").select(id_col, "_digest")).dropDuplicates([id_col, "_digest"])
+    return without_rows(found, again).unionByName(once).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

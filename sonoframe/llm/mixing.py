@@ -89,8 +89,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     uses = sized.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
     n = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     uses = uses.withColumn("_words", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.least(F.col("_size"), F.col("_taken") - (i - 1) * F.col("_size")))))
-    # The first _words words with all the white space before and between them.
-    cut = F.expr(f"regexp_extract({text_col}, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){{', _words, '}}'), 0)")
+    # Cut behind words, each piece is a word and the white space before it.
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     out = F.when(F.col("_words") == F.col("_size"), text).otherwise(cut)
     return uses.withColumn("_text", out).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 

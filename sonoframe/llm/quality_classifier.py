@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, pieces_between, short_batches
 
@@ -229,23 +230,23 @@ def featurize(rows: DataFrame, featurizer: Featurizer, others: list[str]) -> Dat
     return rows.select("text", *others).mapInArrow(run, "vector array<float>, " + ", ".join(f"{c} {kinds[c]}" for c in others))
 
 
-def score(docs: DataFrame, model: tuple[Featurizer, Network], id_col: str = "doc_id", text_col: str = "text", others: tuple = ()) -> DataFrame:
-    """doc_id and score of whole texts, with other columns carried along as they are."""
+def score(docs: DataFrame, model: tuple[Featurizer, Network], text_col: str = "text", carry: tuple = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``carry`` and the score of each whole text."""
     spark = docs.sparkSession
     short_batches(spark)
     featurizer, network = model
     shared = spark.sparkContext.broadcast((list(featurizer.known), featurizer.context, network))  # VOCABULARY words at most
+    rows = docs.select(F.col(text_col).alias("_scored"), *[F.col(c) for c in carry])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, context, net = shared.value
         f = Featurizer(known, context)
         for b in batches:
-            p = net.scores(f.vectors(b.column(1)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), *b.columns[2:]], ["doc_id", "score", *others])
+            p = net.scores(f.vectors(b.column(0)).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], [*carry, name])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(F.col(id_col).alias("_score_id"), F.col(text_col).alias("_score_text"), *[F.col(c) for c in others])
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kinds[id_col]}", "score double", *[f"`{c}` {kinds[c]}" for c in others]]))
+    return rows.mapInArrow(run, schema)
 
 
 def taught(labels: DataFrame) -> DataFrame:

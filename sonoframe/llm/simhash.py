@@ -33,11 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import join_groups, keep, partitions, short_batches, without_groups
+from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, partitions, short_batches, without_groups, without_rows
 from sonoframe.llm.components import connected_components
 
 SEED = 42
 PIVOTS = 24
+#: The near-copy stage: similarity, wide fingerprints in words of 64 bits, and their radius. At a similarity of 0.8 a bit
+#: differs with probability 0.152, so 38.8 of 256 on average, with a standard deviation of 5.7.
+NEAR_SHARE = 0.8
+NEAR_WORDS = 4
+NEAR_BITS = 54
 #: Rows of a block that are compared in one task; larger blocks are cut into tiles.
 TILE = 4096
 #: Pairs looked at at once, which bounds memory.
@@ -104,7 +109,7 @@ def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
     return [sum((parts[i] for i in some), []) for some in combinations(range(most + c), c)]
 
 
-def banded_parts(n: int, bits: int, p: float, recall: float = 0.99) -> list[list[int]]:
+def banded_parts(n: int, bits: int, p: float, recall: float = 0.96) -> list[list[int]]:
     """Seeded bit samples such that a pair that differs in a share p of the bits meets in one at least with the given
     probability; longer samples for more fingerprints."""
     size = max(12, min(bits, math.ceil(math.log2(max(n, 2))) - 2))
@@ -124,7 +129,7 @@ class Links:
 
     def __init__(self, fps: np.ndarray, most: int):
         self.fps, self.most, self.table = fps, most, pivot_table(fps, fps.shape[1]).T.copy()
-        self.label = np.arange(len(fps))
+        self.forest = tuple(np.zeros(0, np.int64) for _ in range(3))
         self.seen = self.passed = 0
 
     def look(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -135,18 +140,29 @@ class Links:
             if len(i) > 0.95 * before:  # within wide radii the references tell nothing apart
                 break
         self.passed += len(i)
-        near = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(1) <= self.most
-        self.join(i[near], j[near])
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        lab = self.label
-        while len(i):
-            a, b = lab[i], lab[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
-            while (up := lab[lab]).tobytes() != lab.tobytes():
-                lab[:] = up
+        far = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(1)
+        near = far <= self.most
+        if near.any():
+            self.grow(i[near], j[near], far[near].astype(np.int64))
+
+    def grow(self, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        """Keep a spanning forest of the nearest links: links enter in order of distance, each between two trees."""
+        i, j, far = (np.concatenate([x, y]) for x, y in zip(self.forest, (i, j, far), strict=True))
+        lab, taken = np.arange(len(self.fps)), []
+        for d in np.unique(far).tolist():
+            open_ = np.flatnonzero(far == d)
+            while len(open_):
+                a, b = lab[i[open_]], lab[j[open_]]
+                apart = a != b
+                open_, a, b = open_[apart], a[apart], b[apart]
+                # Each larger root takes one link to a smaller one, so no ring closes.
+                high, first = np.unique(np.maximum(a, b), return_index=True)
+                lab[high] = np.minimum(a, b)[first]
+                taken.append(open_[first])
+                while ((up := lab[lab]) != lab).any():
+                    lab = up
+        kept = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+        self.forest = i[kept], j[kept], far[kept]
 
     def pairs_in_runs(self, begin: np.ndarray, size: np.ndarray) -> None:
         """All pairs inside runs of consecutive rows."""
@@ -191,9 +207,8 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
                 [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.tile(b.column(0).to_numpy(), m)), pa.concat_arrays([b.column(1)] * m)], ["block", "node", "fp"]
             )
 
-    def linked(lab: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        child = np.flatnonzero(lab != np.arange(len(lab)))
-        return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[lab[child]])], ["a", "b"])
+    def linked(find: Links, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node[find.forest[0]]), pa.array(node[find.forest[1]])], ["a", "b"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block; many whole blocks are taken together."""
@@ -215,7 +230,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
         begin = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         find = Links(as_words(t.column(2).to_numpy(zero_copy_only=False), words), most)
         find.pairs_in_runs(begin, np.diff(np.append(begin, len(block))))
-        return linked(find.label, node)
+        return linked(find, node)
 
     def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         find = Links(as_words(pdf["fp"].tolist(), words), most)
@@ -224,7 +239,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
             find.pairs_across(one, one)
         else:
             find.pairs_across(one, np.flatnonzero((pdf["tile"] == key[2]).to_numpy()))
-        return linked(find.label, pdf["node"].to_numpy()).to_pandas()
+        return linked(find, pdf["node"].to_numpy()).to_pandas()
 
     rows = distinct.where("node IS NOT NULL").select("node", "fp").mapInArrow(keyed, "block long, node long, fp binary")
     rows = keep(rows, "blocks")
@@ -242,19 +257,58 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
     return small if out is None else small.unionByName(out)
 
 
-def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, exact: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links lead to)."""
+def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links lead to).
+
+    Without ``similar``, all fingerprints within ``most`` bits are linked. With it, blocks are bit samples in which texts of
+    that similarity meet with the recall of banded_parts, and a link counts only if the two texts share that much of their
+    shingles."""
     spark = docs.sparkSession
     rows = keep(fingerprints(docs, k, words, id_col, text_col), "fingerprints")
-    total = rows.count()
+    total, bits = rows.count(), 64 * words
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
     n = distinct.count()
-    parts = exact_parts(n, 64 * words, most) if exact else banded_parts(n, 64 * words, most / (64 * words))
-    found = connected_components(block_links(spark, distinct, parts, words, most))
+    parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar))
+    links = block_links(spark, distinct, parts, words, most)
+    if similar is not None:
+        links = similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), links, k, similar)
+    found = connected_components(links)
     settled = distinct.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
     return join_groups(rows, keep(settled, "components", n), "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
+def bits_apart(similar: float) -> float:
+    """Expected share of differing bits between texts that share ``similar`` of their shingles."""
+    return math.acos(min(1.0, 2 * similar / (1 + similar))) / math.pi
+
+
+def similar_links(texts: DataFrame, links: DataFrame, k: int, similar: float) -> DataFrame:
+    """The links (a, b) between texts that share at least ``similar`` of all their different shingles."""
+    links = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidate-links")
+    nodes = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = keep(nodes, "candidate-texts")
+    some = texts.where("doc_id IS NOT NULL").join(F.broadcast(nodes.select("doc_id")) if nodes.count() <= FEW_KEYS else nodes.select("doc_id"), "doc_id")
+    word = F.filter(F.split(F.translate(full_text(F.col("text")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE), lambda w: w != "")
+    some = some.select("doc_id", word.alias("w")).withColumn("size", F.size("w"))
+    at = F.sequence(F.lit(1), F.col("size") - (k - 1))
+    grams = F.when(F.col("size") >= k, F.transform(at, lambda i: F.xxhash64(*[F.element_at("w", i + j) for j in range(k)]))).otherwise(F.array(F.xxhash64("w")))
+    sets = some.select("doc_id", F.array_distinct(grams).alias("grams")).groupBy("doc_id").agg(F.first("grams").alias("grams"))
+    sets = keep(sets.join(nodes, "doc_id"), "shingle-sets")
+    total = 2 * links.count()
+    one = join_groups(links.withColumnRenamed("a", "doc_id"), sets.withColumnRenamed("grams", "of_a"), "doc_id", "n", total).select(F.col("doc_id").alias("a"), "b", "of_a")
+    both = join_groups(one.withColumnRenamed("b", "doc_id"), sets.withColumnRenamed("grams", "of_b"), "doc_id", "n", total)
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared >= similar * (F.size("of_a") + F.size("of_b") - shared)).select("a", F.col("doc_id").alias("b"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, with the columns it came with. Near copies
+    share NEAR_SHARE or more of their five-word shingles; such texts' wide fingerprints lie within NEAR_BITS of each other."""
+    found = near_duplicates(docs, 5, NEAR_BITS, NEAR_WORDS, NEAR_SHARE, id_col, text_col)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    return without_rows(docs, keep(gone, "near-copies"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs, k=4, most=4)
