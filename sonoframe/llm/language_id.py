@@ -59,12 +59,13 @@ def grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     word = np.repeat(np.arange(len(words)), size)
     h, all_h = np.full(len(code), 14695981039346656037, np.uint64), []
     for n in range(1, LONGEST + 1):
-        h = (h[: len(code) - n + 1] ^ code[n - 1 :]) * _PRIME
+        h = (h[: max(0, len(code) - n + 1)] ^ code[n - 1 :]) * _PRIME
         h = h ^ (h >> np.uint64(29))
         all_h.append(h)
     for n in range(LONGEST, 0, -1):
-        whole = word[n - 1 :] == word[: len(word) - n + 1]
-        yield n, all_h[n - 1][whole], word[: len(word) - n + 1][whole]
+        begin = word[: max(0, len(word) - n + 1)]
+        whole = word[n - 1 :] == begin
+        yield n, all_h[n - 1][whole], begin[whole]
 
 
 class LanguageModel:

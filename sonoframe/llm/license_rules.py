@@ -11,7 +11,7 @@ import json
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 #: A text without any of these, in lower case, matches no rule and no base phrase.
-GATES = ("licen", "gpl", "rights", "copyright", "creative", "domain", "spdx", "wtfpl", "cc0", "copyleft")
+GATES = ("licen", "gpl", "rights", "copyright", "creative", "domain", "spdx", "wtfpl", "cc0", "copyleft", "gfdl", "hereby")
 GATE_CC = "cc[^0-9a-z]+by"
 
 _L = "licen[sc]e"
@@ -80,7 +80,7 @@ SINGLE = [
     ("creativecommons org publicdomain zero 1 0", "creativecommons", "cc0", 0.95),
     ("creativecommons org publicdomain mark 1 0", "creativecommons", "public-domain", 0.95),
     ("(?:dedicated|released|placed|is) (?:to|in|into) the public domain", "public domain", "public-domain", 0.8),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "copyright", "mit", 0.95),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", "mit", 0.95),
     (f"permission to use copy modify and or distribute this software[a-z ]{{0,80}} {_L}", "licen", "isc", 0.6),
     (f"redistribution and use in source and binary forms[a-z ]{{0,200}} copyright", "copyright", "bsd", 0.9),
     ("neither the name of [^.]{1,80} may be used[a-z ]{0,80} copyright", "copyright", "bsd-3-clause", 0.9),
@@ -129,7 +129,7 @@ def signature_rules() -> list[dict]:
     for name, label, versions in NAMED:
         keyword = "licen"
         add(f"{name} (?:software |open source )?{_L}", keyword, label, 2, 0.85)
-        add(f"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name}(?: {_L})?", keyword, label, 3, 0.9)
+        add(f"(?:licensed under (?:the )?(?:terms of the )?{name}(?: {_L})?|(?:released|distributed|available|published|provided) under (?:the )?(?:terms of the )?{name} {_L})", keyword, label, 3, 0.9)
         add(f"spdx {_L} identifier {name}", "spdx", label, 4, 0.97)
         for v in versions:
             tag = label + "-" + v.replace(" ", ".")

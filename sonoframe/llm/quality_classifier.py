@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     context = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     featurizer = Featurizer(known, context)
     found = featurize(rows, featurizer, ["y", "_id"]).orderBy("_id", "y").toPandas()
-    x = np.array(found["vector"].tolist(), np.float64).reshape(len(found), -1)
+    x = np.array(found["vector"].tolist(), np.float64).reshape(len(found), 2 * DIM + 4)
     return featurizer, Network(x, found["y"].to_numpy(np.float64))
 
 

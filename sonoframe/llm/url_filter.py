@@ -91,6 +91,8 @@ class DigestArray:
 
     def judge(self, hosts: list[bytes], paths: list[bytes]) -> tuple[list[str | None], list[str]]:
         """The rule that fits best, and the verdict, of each url."""
+        if not len(self.keys):
+            return [None] * len(hosts), ["allow"] * len(hosts)
         best = np.full(len(hosts), -1, np.int64)
         size = np.zeros(len(hosts), np.int64)
         listed = np.zeros(len(hosts), bool)
@@ -111,7 +113,7 @@ class DigestArray:
             rows = rows[[c >= 0 for c in cuts]]
             tails = [t[c + 1 :] for t, c in zip(tails, cuts, strict=True) if c >= 0]
         rules = [self.entry(k).decode() if k >= 0 else None for k in best.tolist()]
-        kinds = np.where(best >= 0, self.kinds[best] if len(self.kinds) else 0, np.where(listed, BLOCK, ALLOW))
+        kinds = np.where(best >= 0, self.kinds[best], np.where(listed, BLOCK, ALLOW))
         return rules, ["block" if k == BLOCK else "allow" for k in kinds.tolist()]
 
 
