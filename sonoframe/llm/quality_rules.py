@@ -23,7 +23,7 @@ LINE_DOCS = 20
 LINE_SHARE = 0.001
 LEFT = 0.5
 LEAST_WORDS = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple = ()) -> DataFrame:
@@ -44,8 +44,8 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id",
         *others,
         "n_words",
-        (F.char_length("text") - _spaces("text")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.char_length("text") - F.char_length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("all_lines") - F.size(F.array_distinct("all_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _repeated_words("windows")).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         each.alias("lines"),
@@ -53,18 +53,16 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _spaces(text: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def _repeated_words(windows: str) -> Column:
+    """Number of words in windows whose hash stands in the text twice or more: in order of hash, equal ones are neighbours."""
 
+    def count(p: Column) -> Column:
+        twins = F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.get(p, k)["h"] == F.get(p, k - 1)["h"])
+        words = F.transform(twins, lambda k: F.array(*[F.get(p, k - j)["i"] + n for j in (0, 1) for n in (0, 1, 2)]))
+        return F.size(F.array_distinct(F.flatten(words)))
 
-def _repeated_words(windows: str) -> Column:
-    """Number of words in windows whose hash stands in the text twice or more."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), placed)
-    pairs = F.arrays_zip(placed.alias("b"), before.alias("a"))
-    same = F.filter(pairs, lambda p: p["b"]["h"] == p["a"]["h"])
-    places = F.flatten(F.transform(same, lambda p: F.array(p["a"]["i"], p["b"]["i"])))
-    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.get(F.transform(F.array(placed), count), F.lit(0))
 
 
 def base_failed() -> Column:
@@ -84,7 +82,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = measured.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
     shared = lines.groupBy("host", "hash", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     shared = shared.where(F.col("texts") > line_docs).alias("s").join(hosts.alias("h"), F.col("s.host").eqNullSafe(F.col("h.host")))
-    common = keep(shared.where(F.col("texts") > line_share * F.col("host_texts")).select(F.xxhash64("s.host", "hash").alias("line"), "n"), "common-lines", total // (line_docs + 1))
+    common = keep(shared.where(F.col("texts") > line_share * F.col("host_texts")).select(F.xxhash64("s.host", "hash").alias("line"), "n"), "common-lines", total)
     mine = measured.select("row_id", F.explode(F.transform("lines", lambda x: F.struct(key(x).alias("line"), x["n"].alias("words")))).alias("x")).select("row_id", "x.line", "x.words")
     removed = join_groups(mine, common, "line", "n", total).groupBy("row_id").agg(F.sum("words").alias("words_removed"))
     out = measured.drop("lines", "text_hash").join(removed, "row_id", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)))
