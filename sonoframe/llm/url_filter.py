@@ -127,10 +127,11 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], blocked: tuple[str, ...]
     spark = pages.sparkSession
     data = build(rules, blocked)
     name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.keys"
-    local = os.path.join(tempfile.mkdtemp(), name)
-    with open(local, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(local)  # each executor fetches its own copy
+    if not any(x.rsplit("/", 1)[-1] == name for x in spark.sparkContext.listFiles):
+        local = os.path.join(tempfile.mkdtemp(), name)
+        with open(local, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(local)  # each executor fetches its own copy
     after = F.when(F.instr(F.col(url_col), "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise(F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), after.alias("after"))
     rows = rows.select("page_id", F.regexp_extract("after", "^[^/?#]*", 0).alias("host"), F.regexp_extract("after", "(?s)^[^/?#]*([^?#]*)", 1).alias("path"))

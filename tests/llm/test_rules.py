@@ -130,3 +130,8 @@ def test_no_urls(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.judge_urls(none, U.RULES).count() == 0
     assert U.judge_urls(spark.createDataFrame([(1, "a://b/c")], "page_id long, url string"), {}).first().verdict == "allow"
+
+
+def test_the_same_lists_twice(spark):
+    df = spark.createDataFrame([(1, "a://b.org/")], "page_id long, url string")
+    assert [U.judge_urls(df, U.RULES, U.BLOCKED).first().rule for _ in range(2)] == ["org/"] * 2
