@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import bits as B
 from sonoframe.functions import scalar as S
-from sonoframe.operators import spectral
+from sonoframe.operators import layers, residual, spectral, syntax
 from sonoframe.operators.kernels import filter_taps
 from sonoframe.plans import analysis as A
 from sonoframe.plans import framing as FR
@@ -597,3 +597,35 @@ def mdct_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     """Scale factor of each band of each frame's spectrum."""
     s = spectral.spectra(spectral.subbands(long_frames(spark, sf), ["stream_id"]), ["stream_id"])
     return A.band_scale_factors(s, "lines", ["stream_id", "frame_no"])
+
+
+# --- Coding of layers and frames -----------------------------------------------------------------------------------
+
+
+def spectra_with_factors(spark: SparkSession, sf: str) -> DataFrame:
+    bands = F.array(*[F.lit(e) for e in BAND_EDGES[:8]])
+    return embedded(spark, sf).select("vec_id", "embedding", F.transform(bands, lambda s: S.scale_index(A.peak(F.slice("embedding", s + 1, 8)))).alias("factors"))
+
+
+@query()
+def residual_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits and error of each band and mode at the band's own scale factor."""
+    return residual.band_costs(spectra_with_factors(spark, sf), ["vec_id"], "embedding", "factors").withColumn("error", F.round("error", 9))
+
+
+@query()
+def stereo_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Stereo modes, hints, ratios and selectors of each stream's frames."""
+    rows = stereo(spark, sf).groupBy("stream_id", F.floor(F.col("sample_no") / SIZE).cast("long").alias("frame_no"))
+    sums = [F.sum(F.when(F.col("sample_no") % 4 == i, F.abs(c).cast("double")).otherwise(0.0)) for c in ("l", "r") for i in range(4)]
+    return layers.stereo_plan(rows.agg(F.array(*sums[:4]).alias("left"), F.array(*sums[4:]).alias("right")), 1)
+
+
+@query(f"WITH {NORMAL}, q AS (SELECT vec_id, {SYMBOL.format(zero=ZERO)} AS q FROM lines) SELECT vec_id, CAST(channel AS INTEGER) AS channel, CAST(8 + 3 + 5 + 6 + 8 * 3 + 8 * 6 + sum({LENGTH_CASE}[q + 8]) AS INTEGER) AS bits FROM q, (VALUES (0), (1)) c(channel) GROUP BY ALL")
+def coded_frame_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of two channels written from quantized bands, read back: bits of each channel, which the tables of code
+    lengths foretell."""
+    q = F.transform("ns", lambda n: S.quantize(n.cast("double"), F.lit(5), S.dead_zone(F.lit(3), F.lit(5))))
+    rows = normal_bands(spark, sf).select("vec_id", F.struct("band", "scale_factor", q.alias("q")).alias("x")).groupBy("vec_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rows = rows.select("vec_id", F.transform("x", lambda b: b["scale_factor"]).alias("factors"), F.flatten(F.transform("x", lambda b: b["q"])).alias("symbols"))
+    return syntax.parsed_frames(syntax.written_frames(rows, ["vec_id"], 5, 384), ["vec_id"], 384, False).select("vec_id", "channel", "bits")
