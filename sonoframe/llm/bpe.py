@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import WordTable, pieces_between, ragged, short_batches, totals
+from sonoframe.llm.common import WordTable, lean, pieces_between, ragged, short_batches, totals
 
 #: The split pattern of the byte-level pre-tokenizer, and the bytes that stand for themselves in its alphabet.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,6 +171,10 @@ class BytePairCoder:
                 out.append(self.words.joined(self.words.places(self.split.findall(p)))[0])
         return np.concatenate(out)
 
+    def clear(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         parts = [ids[i : i + PIECE] for i in range(0, len(ids), PIECE)]
         return b"".join(self.bytes[ragged(self.start[p], self.length[p])].tobytes() for p in parts)
@@ -193,8 +197,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids, n = coder(path).encode(b.column(1))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+        coder(path).clear()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -206,7 +211,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder(path).decode(np.asarray(x.values if x.is_valid else [], np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,9 +229,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 of_ids.append(hashlib.sha256(words[4 * (to - k) : 4 * to]).hexdigest())
                 of_text.append(hashlib.sha256(c.decode(ids[to - k : to]).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder(path).clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary(name: str) -> str:

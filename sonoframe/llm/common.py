@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -97,6 +100,21 @@ def without_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), same, "left_anti")
 
 
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow after which the worker, which Spark keeps for other tasks, gives memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 class _Numbered(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -112,7 +130,7 @@ class WordTable:
     ``make`` turns a list of new words into their rows, one after another, and the length of each. Above ``limit``
     words the table starts afresh, which bounds its memory."""
 
-    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 400_000):
+    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 150_000):
         self.make, self.dtype, self.limit = make, dtype, limit
         self.clear()
 

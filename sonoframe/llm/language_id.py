@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, pieces_between, short_batches
+from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, lean, pieces_between, short_batches
 
 SAMPLE = 20_000
 VOCABULARY = 40_000
@@ -111,7 +111,7 @@ class LanguageModel:
 class Identifier:
     def __init__(self, model: LanguageModel):
         self.model, self.width = model, len(model.languages) + 1
-        self.pieces = WordTable(self._make, np.float32, limit=300_000)
+        self.pieces = WordTable(self._make, np.float32, limit=150_000)
 
     def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [core(p) for p in pieces]
@@ -163,7 +163,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     total[langs[k // len(words)], w] += c
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = keep(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    counts = keep(rows.mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     # The words that n-grams are counted from, and among them those that score as words: a bounded number.
     top = counts.groupBy("word").agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)])
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, pieces_between, short_batches
+from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, lean, pieces_between, short_batches
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 8000
@@ -68,7 +68,7 @@ class Featurizer:
     def __init__(self, known: list[str], context: np.ndarray):
         self.known, self.context = dict(zip(known, range(len(known)), strict=True)), context
         self.shape_rows = index_vectors([f"\0shape{i}" for i in range(SHAPES)])
-        self.words = WordTable(self._make, np.float32, limit=200_000)
+        self.words = WordTable(self._make, np.float32, limit=100_000)
 
     def _make(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = np.zeros((len(words), DIM + 1), np.float32)
@@ -94,7 +94,7 @@ class Featurizer:
         doc = np.repeat(np.arange(len(n)), n)
         out = np.zeros((len(n), 2 * DIM + 4), np.float32)
         filled = np.flatnonzero(n)
-        step = 1 << 17  # words at once
+        step = 1 << 16  # words at once
         for a in range(0, len(place), step):
             part = rows[place[a : a + step]]
             here = doc[a : a + step]
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words, n = np.unique(_words_of(b.column(0))[0].astype(object), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], ["word", "n"])
 
-    counts = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1 AND word <> ''").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
     known = top["word"].tolist()
     number = dict(zip(known, range(len(known)), strict=True))
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     np.add.at(total, z[i : i + (1 << 17)], table[a[i : i + (1 << 17)]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    sums = [np.frombuffer(r["sums"], np.float32).reshape(-1, DIM) for r in rows.select("text").mapInArrow(contexts, "sums binary").collect()]
+    sums = [np.frombuffer(r["sums"], np.float32).reshape(-1, DIM) for r in rows.select("text").mapInArrow(lean(contexts), "sums binary").collect()]
     context = sum(sums, np.zeros((len(known), DIM), np.float32))
     context = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     featurizer = Featurizer(known, context)
@@ -227,7 +227,7 @@ def featurize(rows: DataFrame, featurizer: Featurizer, others: list[str]) -> Dat
             yield pa.RecordBatch.from_arrays([lists, *b.columns[1:]], ["vector", *others])
 
     kinds = dict(rows.dtypes)
-    return rows.select("text", *others).mapInArrow(run, "vector array<float>, " + ", ".join(f"{c} {kinds[c]}" for c in others))
+    return rows.select("text", *others).mapInArrow(lean(run), "vector array<float>, " + ", ".join(f"{c} {kinds[c]}" for c in others))
 
 
 def score(docs: DataFrame, model: tuple[Featurizer, Network], text_col: str = "text", carry: tuple = ("doc_id",), name: str = "score") -> DataFrame:
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: tuple[Featurizer, Network], text_col: str = "t
             p = net.scores(f.vectors(b.column(0)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], [*carry, name])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def taught(labels: DataFrame) -> DataFrame:

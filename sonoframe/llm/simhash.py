@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, partitions, short_batches, without_groups, without_rows
+from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, lean, partitions, short_batches, without_groups, without_rows
 from sonoframe.llm.components import connected_components
 
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp binary")
+    return rows.mapInArrow(lean(run), "doc_id long, fp binary")
 
 
 def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
@@ -241,7 +241,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
             find.pairs_across(one, np.flatnonzero((pdf["tile"] == key[2]).to_numpy()))
         return linked(find, pdf["node"].to_numpy()).to_pandas()
 
-    rows = distinct.where("node IS NOT NULL").select("node", "fp").mapInArrow(keyed, "block long, node long, fp binary")
+    rows = distinct.where("node IS NOT NULL").select("node", "fp").mapInArrow(lean(keyed), "block long, node long, fp binary")
     rows = keep(rows, "blocks")
     large = keep(rows.groupBy("block").count().where(F.col("count") > TILE), "large-blocks")
     out = None
@@ -253,7 +253,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
         cut = cut.select("block", "node", "fp", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
         out = cut.groupBy("block", "t1", "t2").applyInPandas(across, "a long, b long")
         rows = without_groups(rows, large, "block", "count", rows.count())
-    small = rows.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(within, "a long, b long")
+    small = rows.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(lean(within), "a long, b long")
     return small if out is None else small.unionByName(out)
 
 

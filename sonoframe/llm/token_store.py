@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import WordTable, fresh_path, full_text, keep, partitions, pieces_between, short_batches, totals
+from sonoframe.llm.common import WordTable, fresh_path, full_text, keep, lean, partitions, pieces_between, short_batches, totals
 
 BLOCK = 1 << 16
 MAGIC = b"TOKBITS1"
@@ -143,7 +143,7 @@ class PieceTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = WordTable(self._make, np.int32)
+        self.pieces = WordTable(self._make, np.int32, limit=400_000)
 
     def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -182,12 +182,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
             for b in _chain(first, batches):
                 w.add(b.column(0).fill_null(NULL_ID).to_numpy(), *t.encode(b.column(1), end_id))
             n_docs, n_ids = w.close()
+        t.pieces.clear()
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), full_text(F.col(text_col)).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "tie")
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text")
-    return keep(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    return keep(rows.mapInArrow(lean(run), "shard long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def _chain(first, rest):
@@ -218,7 +219,7 @@ def read_tokens(manifest: DataFrame, each: Callable[[np.ndarray], object], schem
                         )
 
     dealt = placed.repartition(partitions(spark), "shard")
-    return dealt.mapInArrow(run, f"doc_id long, start long, n_tokens long, {schema}")
+    return dealt.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {schema}")
 
 
 def _groups(f: TokenFile) -> Iterator[range]:
