@@ -152,7 +152,11 @@ class PieceTokenizer:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, with the end id after each text, and the number for each."""
-        pieces, n = pieces_between(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        # A point or comma between a letter and a space is a piece of its own in any case, and letters lose their case, so
+        # fewer different pieces are left; but special tokens are told by their case.
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        pieces, n = pieces_between(pc.replace_substring_regex(texts, r"([A-Za-z])([.,])( |$)", r"\1 \2\3"), " ")
+        pieces = pc.if_else(pc.match_substring(pieces, "<|"), pieces, pc.ascii_lower(pieces))
         ids, per = self.pieces.joined(self.pieces.places_of(pieces))
         n = totals(per, n)
         return np.insert(ids, np.cumsum(n), end_id), n + 1
