@@ -629,3 +629,75 @@ def coded_frame_bits(spark: SparkSession, sf: str) -> DataFrame:
     rows = normal_bands(spark, sf).select("vec_id", F.struct("band", "scale_factor", q.alias("q")).alias("x")).groupBy("vec_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     rows = rows.select("vec_id", F.transform("x", lambda b: b["scale_factor"]).alias("factors"), F.flatten(F.transform("x", lambda b: b["q"])).alias("symbols"))
     return syntax.parsed_frames(syntax.written_frames(rows, ["vec_id"], 5, 384), ["vec_id"], 384, False).select("vec_id", "channel", "bits")
+
+
+# --- Checks, offsets and small functions ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {STEREO}, f AS (SELECT stream_id, CAST(sample_no // {SIZE} AS BIGINT) AS frame_no, count(l) AS nl, count(CASE WHEN r > 0 THEN r END) AS nr FROM stereo GROUP BY ALL)
+SELECT stream_id, frame_no, CASE WHEN nl <> nr THEN 'unequal channels' WHEN nl <> {SIZE} THEN 'incomplete' END AS error FROM f""")
+def frame_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with a chunk before any state moves: channels of unequal length, or too few samples."""
+    f = stereo(spark, sf).groupBy("stream_id", F.floor(F.col("sample_no") / SIZE).cast("long").alias("frame_no"))
+    f = f.agg(F.collect_list("l").alias("left"), F.collect_list(F.when(F.col("r") > 0, F.col("r"))).alias("right"))
+    error = F.when(F.size("left") != F.size("right"), "unequal channels").when(F.size("left") != SIZE, "incomplete")
+    return f.select("stream_id", "frame_no", error.alias("error"))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS stream_id, 4 + CAST(greatest(0, ceil((count(*) - 69) / 1024.0) - 1) AS BIGINT) AS frames FROM lineitem GROUP BY 1),
+f AS (SELECT stream_id, unnest(range(frames)) AS frame_no FROM n) SELECT stream_id, frame_no, 80 + 192 * frame_no AS first_byte, 80 + 192 * (frame_no + 1) AS end_byte FROM f""")
+def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each frame of a coded file lies."""
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("stream_id")).agg(FR.frame_count(F.count(F.lit(1))).alias("frames"))
+    f = n.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame_no"))
+    return f.select("stream_id", "frame_no", (80 + 192 * F.col("frame_no")).alias("first_byte"), (80 + 192 * (F.col("frame_no") + 1)).alias("end_byte"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, greatest(-100, least(100, CAST(l_quantity AS BIGINT) * 5 - 120)) AS clamped,
+round(CASE WHEN l_discount > 0 THEN l_tax / l_discount ELSE 0 END, 9) AS error_share,
+CAST(trunc(log10(greatest(l_extendedprice, 1e-20)) / log10(2.0::DOUBLE) + 0.5) AS INTEGER) AS log2_price, l_discount < l_tax AS less FROM lineitem""")
+def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounded arithmetic, error shares, rounded logarithms and comparisons that count what is not a number as less."""
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        S.clamp(F.col("l_quantity").cast("long") * 5 - 120, -100, 100).alias("clamped"),
+        F.round(S.normalized_error(F.col("l_tax"), F.col("l_discount")), 9).alias("error_share"),
+        S.gain_log2_round(F.col("l_extendedprice")).alias("log2_price"),
+        S.unordered_less(F.col("l_discount"), F.col("l_tax")).alias("less"),
+    )
+
+
+@query(f"SELECT p_partkey, p_size, round({SCALE_LIST}[p_size + 1], 9) AS scale FROM part")
+def scale_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectral scale of an index."""
+    return table(spark, sf, "part").select("p_partkey", "p_size", F.round(S.scale_at(F.col("p_size")), 9).alias("scale"))
+
+
+@query(f"""WITH {POINTS} SELECT l_orderkey, CAST(coalesce(list_max(list_transform(range(1, len(levels) + 1), lambda i: CASE WHEN levels[i] % 8 > 2 THEN i ELSE 0 END)), 0) AS INTEGER) AS bands FROM points""")
+def active_band_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Bands up to the last one with a word length."""
+    w = F.transform("levels", lambda v: F.when(v % 8 > 2, v % 8).otherwise(0))
+    return points(spark, sf).select("l_orderkey", F.coalesce(F.array_max(F.transform(w, lambda v, i: F.when(v > 0, i + 1).otherwise(0))), F.lit(0)).alias("bands"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, unnest(range(0, len(embedding), 4)) AS s, embedding FROM embeddings),
+f AS (SELECT vec_id, CAST(s // 4 AS INTEGER) AS group_no, {scale_sql('list_max(list_transform(list_slice(embedding, s + 1, s + 4), lambda v: abs(v)))')} AS factor FROM g),
+m AS (SELECT *, avg(factor) OVER (PARTITION BY vec_id) AS mean FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, group_no // 16 ORDER BY group_no) AS place FROM m WHERE factor > mean + 2)
+SELECT vec_id, group_no, factor FROM r WHERE place <= 7""")
+def tone_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of four lines that stand out above the mean scale factor, seven at most in each block of 64 lines."""
+    starts = F.sequence(F.lit(1), F.size("embedding") - 3, F.lit(4))
+    e = embedded(spark, sf).select("vec_id", F.transform(starts, lambda s: S.scale_index(A.peak(F.slice("embedding", s, 4)))).alias("fs"))
+    mean = F.aggregate("fs", F.lit(0), lambda a, x: a + x) / F.size("fs")
+    e = e.select("vec_id", F.filter(F.transform("fs", lambda f, i: F.struct(i.alias("group_no"), f.alias("factor"))), lambda g: g["factor"] > mean + 2).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.slice(F.filter("out", lambda g: F.floor(g["group_no"] / 16) == b), 1, 7))
+    return e.select("vec_id", F.explode(F.flatten(blocks)).alias("g")).select("vec_id", "g.group_no", "g.factor")
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT l_orderkey, greatest(list_max(levels), 4) - least(list_min(levels), 4) >= 3 AS attack FROM points)
+SELECT l_orderkey, attack, attack OR coalesce(lag(attack) OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey), FALSE) AS near_attack FROM a""")
+def attack_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a record or the one before it in its stream is an attack."""
+    a = points(spark, sf).select("l_orderkey", S.is_attack(F.col("levels")).alias("attack"))
+    before = F.lag("attack").over(W.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey"))
+    return a.select("l_orderkey", "attack", (F.col("attack") | F.coalesce(before, F.lit(False))).alias("near_attack"))
