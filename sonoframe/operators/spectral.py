@@ -58,6 +58,40 @@ def subbands(frames: DataFrame, keys: list[str], value: str = "samples", frame:
     return rows.mapInArrow(run, schema)
 
 
+GAINS = "array<array<struct<location:int,level:int>>>"
+
+
+def _scales(now: list | None, before: list | None) -> np.ndarray:
+    """Envelopes (4 x 512) of a frame's gain records and those of the frame before; ones without points."""
+    out = np.ones((4, 512), np.float32)
+    for band in range(4):
+        pair = [[(p["location"], p["level"]) for p in (r[band] if r and band < len(r) else [])] for r in (before, now)]
+        if pair[0] or pair[1]:
+            scale = kernels.gain_scale(*pair)
+            if scale is None:
+                raise ValueError("a gain level is above 15")
+            out[band] = scale
+    return out
+
+
+def gained_spectra(bands: DataFrame, keys: list[str], gains: str = "gains", frame: str = "frame_no") -> DataFrame:
+    """As spectra, with each band's window divided by its gain envelope; ``gains`` holds a record for each band (GAINS)."""
+    both = F.struct(F.concat("b0", "b1", "b2", "b3").alias("x"), F.col(gains).alias("g"))
+    rows = with_previous(bands.select(*keys, frame, both.alias("now")), keys, "now", frame)
+    rows = rows.select(*keys, frame, "now.x", "now.g", F.col("before.x").alias("x1"), F.col("before.g").alias("g1"))
+    n = len(keys) + 1
+    schema = T.StructType([*rows.schema.fields[:n], T.StructField("lines", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            now, before = (_rows(b.column(i), 1024).reshape(-1, 4, 256) for i in (n, n + 2))
+            pairs = zip(b.column(n + 1).to_pylist(), b.column(n + 3).to_pylist(), strict=True)
+            scales = np.array([_scales(g, g1) for g, g1 in pairs], np.float32).reshape(-1, 4, 512)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], _lists(kernels.spectrum(np.concatenate([before, now], 2), scales))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def spectra(bands: DataFrame, keys: list[str], frame: str = "frame_no") -> DataFrame:
     """1024 lines of each frame, from its bands and those of the frame before, without gain control."""
     rows = with_previous(bands.select(*keys, frame, F.concat("b0", "b1", "b2", "b3").alias("now")), keys, "now", frame).select(*keys, frame, "now", "before")

@@ -97,3 +97,19 @@ def test_trims_cover_the_timeline(spark):
     t = FR.trims(d, "stream_id")
     assert FR.incomplete(t, "stream_id").first().complete
     assert not FR.incomplete(t.where("frame_no < 5"), "stream_id").first().complete
+
+
+def test_gained_spectra(spark):
+    rng = np.random.default_rng(11)
+    bands = rng.normal(size=(3, 4, 256)).astype(np.float32)
+    gains = [[[], [], [], []], [[(0, 5)], [], [(3, 9), (20, 2)], []], [[], [], [], []]]
+    rows = [("s", i, *[b.tolist() for b in bands[i]], gains[i]) for i in range(3)]
+    df = spark.createDataFrame(rows, f"stream_id string, frame_no long, b0 array<float>, b1 array<float>, b2 array<float>, b3 array<float>, gains {spectral.GAINS}")
+    got = {r.frame_no: np.array(r.lines, np.float32) for r in spectral.gained_spectra(df, ["stream_id"]).collect()}
+    plain = {r.frame_no: np.array(r.lines, np.float32) for r in spectral.spectra(df, ["stream_id"]).collect()}
+    assert (got[0] == plain[0]).all()
+    for i in (1, 2):
+        window = np.concatenate([bands[i - 1], bands[i]], 1)[None]
+        scale = np.stack([kernels.gain_scale(a, b) for a, b in zip(gains[i - 1], gains[i], strict=True)])[None]
+        assert (got[i] == kernels.spectrum(window, scale)[0]).all()
+        assert (got[i][256:512] == plain[i][256:512]).all() and (got[i][:256] != plain[i][:256]).any()
