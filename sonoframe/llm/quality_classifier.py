@@ -39,7 +39,9 @@ NONZERO = 6
 SHAPES = 512
 WINDOW = 2
 HIDDEN = 32
+#: Passes over the sample, and gradient steps at least, for small samples.
 EPOCHS = 150
+LEAST_STEPS = 3000
 THRESHOLD = 0.3
 SEED = 7
 _RUNS = [(re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0")]
@@ -136,7 +138,7 @@ class Network:
         d = x.shape[1]
         p = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, LEAST_STEPS // (len(fit) // 128 + 1))):
             rng.shuffle(fit)
             for i in range(0, len(fit), 128):
                 rows = fit[i : i + 128]

@@ -4,6 +4,8 @@ import pytest
 from sonoframe.llm import catalog
 
 SF = "/root/testdata/sf0.001"
+#: The smallest tables have under ten documents of low quality, too few to learn from.
+LARGER = "/root/testdata/sf0.01"
 
 
 def rows(columns, values):
@@ -22,11 +24,11 @@ def test_query_against_sql(spark, name):
 
 
 def test_classifiers_on_held_out_documents(spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    got = catalog.QUERIES["op4_quality_classifier"](spark, SF).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    got = catalog.QUERIES["op4_quality_classifier"](spark, LARGER).collect()
     held = [r for r in got if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held)
-    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = catalog.QUERIES["op8_language_id"](spark, SF).collect()
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    got = catalog.QUERIES["op8_language_id"](spark, LARGER).collect()
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held)
