@@ -253,7 +253,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
         cut = cut.select("block", "node", "fp", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
         out = cut.groupBy("block", "t1", "t2").applyInPandas(across, "a long, b long")
         rows = without_groups(rows, large, "block", "count", rows.count())
-    small = rows.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(lean(within), "a long, b long")
+    small = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", "node").mapInArrow(lean(within), "a long, b long")
     return small if out is None else small.unionByName(out)
 
 
