@@ -233,6 +233,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
         return linked(find, node)
 
     def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
         find = Links(as_words(pdf["fp"].tolist(), words), most)
         one = np.flatnonzero((pdf["tile"] == key[1]).to_numpy())
         if key[1] == key[2]:
