@@ -186,7 +186,6 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
             for b in _chain(first, batches):
                 w.add(b.column(0).fill_null(NULL_ID).to_numpy(), *t.encode(b.column(1), end_id))
             n_docs, n_ids = w.close()
-        t.pieces.clear()
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), full_text(F.col(text_col)).alias("text")).withColumn("tie", F.xxhash64("text"))
