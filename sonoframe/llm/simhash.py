@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, lean, partitions, short_batches, without_groups, without_rows
+from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, lean, partitions, ragged, short_batches, totals, without_groups, without_rows
 from sonoframe.llm.components import connected_components
 
 SEED = 42
@@ -45,6 +45,8 @@ NEAR_WORDS = 4
 NEAR_BITS = 54
 #: Rows of a block that are compared in one task; larger blocks are cut into tiles.
 TILE = 4096
+#: Shingles of a group of candidates whose texts are compared in one task; larger groups are cut into tiles.
+TILE_GRAMS = 1 << 19
 #: Pairs looked at at once, which bounds memory.
 PAIRS = 1 << 20
 
@@ -284,7 +286,11 @@ def bits_apart(similar: float) -> float:
 
 
 def similar_links(texts: DataFrame, links: DataFrame, k: int, similar: float) -> DataFrame:
-    """The links (a, b) between texts that share at least ``similar`` of all their different shingles."""
+    """Links (a, b) between texts that share at least ``similar`` of all their different shingles.
+
+    The given links may be a forest of candidates. Texts that they join form a group, and the links lead to a text's whole
+    component of similar texts in its group: links that hold join trees, and where a group keeps several trees, their texts
+    are compared in full."""
     links = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidate-links")
     nodes = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     nodes = keep(nodes, "candidate-texts")
@@ -299,7 +305,54 @@ def similar_links(texts: DataFrame, links: DataFrame, k: int, similar: float) ->
     one = join_groups(links.withColumnRenamed("a", "doc_id"), sets.withColumnRenamed("grams", "of_a"), "doc_id", "n", total).select(F.col("doc_id").alias("a"), "b", "of_a")
     both = join_groups(one.withColumnRenamed("b", "doc_id"), sets.withColumnRenamed("grams", "of_b"), "doc_id", "n", total)
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= similar * (F.size("of_a") + F.size("of_b") - shared)).select("a", F.col("doc_id").alias("b"))
+    checked = both.where(shared >= similar * (F.size("of_a") + F.size("of_b") - shared)).select("a", F.col("doc_id").alias("b"))
+    checked = keep(checked, "checked-links", total)
+    return checked.unionByName(tree_links(sets, links, checked, similar))
+
+
+def tree_links(sets: DataFrame, links: DataFrame, checked: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that hold between different trees of ``checked`` in one group of ``links``, enough to join all trees that
+    similar texts join. A group of two has no pair left to check, and pairs inside a tree need no check; all others are
+    compared, in tiles, and a task emits no pairs but links that join trees."""
+    groups, trees = connected_components(links), connected_components(checked)
+    member = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    member = member.join(trees.select(F.col("node").alias("doc_id"), F.col("component").alias("tree")), "doc_id", "left")
+    member = member.withColumn("tree", F.coalesce("tree", "doc_id")).join(sets.select("doc_id", F.size("grams").cast("long").alias("size")), "doc_id")
+    member = keep(member, "group-members")
+    total = member.count()
+    sizes = member.groupBy("group", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("trees"), F.sum("size").alias("size"), F.max_by("tree", F.struct("n", "tree")).alias("main"))
+    sizes = sizes.where("trees > 1 AND n > 2").select("group", "n", "main", F.ceil(F.col("size") / TILE_GRAMS).cast("int").alias("tiles"))
+    sizes = keep(sizes, "open-groups", total)
+    cut = join_groups(member.drop("size"), sizes, "group", "n", total).select("group", "doc_id", "tree", (F.col("tree") == F.col("main")).alias("in_main"), "tiles")
+    cut = cut.join(sets.select("doc_id", "grams"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cut = cut.select("group", "doc_id", "tree", "in_main", "grams", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        node, tile, lab = pdf["doc_id"].to_numpy(), pdf["tile"].to_numpy(), pdf["tree"].to_numpy().copy()
+        size = np.fromiter(map(len, pdf["grams"]), np.int64, len(pdf))
+        begin = np.cumsum(size) - size
+        known, gram = np.unique(np.concatenate(pdf["grams"].tolist()), return_inverse=True)
+        mine = np.zeros(len(known), bool)
+        links = []
+        for i in np.flatnonzero(~pdf["in_main"].to_numpy()).tolist():
+            # Sizes further apart than this can't share enough.
+            some = np.flatnonzero((tile == key[1] + key[2] - tile[i]) & (lab != lab[i]) & (np.minimum(size, size[i]) >= similar * np.maximum(size, size[i])))
+            if not len(some):
+                continue
+            at = gram[begin[i] : begin[i] + size[i]]
+            mine[at] = True
+            shared = totals(mine[gram[ragged(begin[some], size[some])]], size[some])
+            mine[at] = False
+            some = some[shared >= similar * (size[i] + size[some] - shared)]
+            joined, first = np.unique(lab[some], return_index=True)
+            links += [(node[i], node[j]) for j in some[first].tolist()]
+            lab[np.isin(lab, joined)] = lab[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return cut.groupBy("group", "t1", "t2").applyInPandas(compare, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

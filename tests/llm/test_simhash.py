@@ -120,3 +120,38 @@ def test_empty_and_odd(spark, empty, odd):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
     nulls = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (None, "zz")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in simhash.near_duplicates(nulls, 4, 4).collect()) == ["2", "2", "None"]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def star(rng, center, leaves):
+    """A text, and copies of it with five-word shingles lost in distant places: similar to it, but not to each other."""
+    w = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(center, " ".join(w))]
+    for i in range(leaves):
+        v = list(w)
+        for at in rng.sample(range(0, 400, 10), 8):
+            v[at + 5] = f"new{rng.randrange(10**6)}"
+        rows.append((center + 1 + i, " ".join(v)))
+    return rows
+
+
+def test_a_failed_link_hides_no_other(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = star(rng, 0, 120) + star(rng, 1000, 60)
+    for i, t in rows:
+        if i % 1000:
+            assert 0.8 <= jaccard(t, rows[0 if i < 1000 else 121][1]) <= 0.85
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    # A forest of candidates of which no link holds: a chain of leaves, with the center at its end by way of another star.
+    chain = [*range(1, 121), *range(1001, 1061), 0, 1000]
+    a, b = chain[:-1], chain[1:]
+    for grams in (1 << 19, 8000):
+        monkeypatch.setattr(simhash, "TILE_GRAMS", grams)
+        links = simhash.similar_links(texts, spark.createDataFrame(list(zip(a, b, strict=True)), "a long, b long"), 5, 0.8)
+        found = {r.node: r.component for r in connected_components(links).collect()}
+        assert found == {i: 0 if i < 1000 else 1000 for i, _ in rows}
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(texts).collect()) == [0, 1000]
