@@ -70,10 +70,13 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, k: int, words: int = 1) -> bytes:
-    """Big-endian fingerprint of 8 x words bytes: a bit is 1 if it is set in over half the shingles' hashes."""
+def fingerprint(text: bytes, k: int, words: int = 1, different: bool = False) -> bytes:
+    """Big-endian fingerprint of 8 x words bytes: a bit is 1 if it is set in over half the hashes of the shingles, or of the
+    different shingles."""
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(s, SEED) for s in shingles(text, k)], np.uint64)
+    if different:
+        hashes = np.unique(hashes)
     if not len(hashes):
         return bytes(8 * words)
     out = b""
@@ -87,13 +90,13 @@ def fingerprint(text: bytes, k: int, words: int = 1) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
     """(doc_id, fp binary) of whole texts."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", k, words) for t in b.column(1).cast(pa.binary())]
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", k, words, different) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -111,11 +114,25 @@ def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
     return [sum((parts[i] for i in some), []) for some in combinations(range(most + c), c)]
 
 
-def banded_parts(n: int, bits: int, p: float, recall: float = 0.96) -> list[list[int]]:
-    """Seeded bit samples such that a pair that differs in a share p of the bits meets in one at least with the given
-    probability; longer samples for more fingerprints."""
-    size = max(12, min(bits, math.ceil(math.log2(max(n, 2))) - 2))
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-((1 - p) ** size)))
+def recall_of(bits: int, p: float, most: int, size: int, tables: int) -> float:
+    """Probability that a pair whose bits each differ with probability p lies within ``most`` bits and agrees on one of so
+    many samples of ``size`` bits at least: over all its distances, since their mean would promise too much."""
+    met = lambda d: 1 - (1 - math.comb(bits - d, size) / math.comb(bits, size)) ** tables
+    return sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * met(d) for d in range(most + 1))
+
+
+def banded_parts(n: int, bits: int, p: float, most: int, recall: float = 0.99) -> list[list[int]]:
+    """Seeded bit samples such that a pair whose bits each differ with probability p meets in one, within ``most`` bits, with
+    the given probability at least; longer samples for more fingerprints, and more of them, so that recall stays."""
+    size = max(8, min(bits, math.ceil(math.log2(max(n, 2))) - 8))
+    if recall_of(bits, p, most, 0, 1) < recall:
+        raise ValueError(f"a radius of {most} bits has no recall of {recall}")
+    low, tables = 0, 1
+    while recall_of(bits, p, most, size, tables) < recall:
+        low, tables = tables, 2 * tables
+    while tables - low > 1:
+        half = (low + tables) // 2
+        low, tables = (low, half) if recall_of(bits, p, most, size, half) >= recall else (half, tables)
     rng = np.random.default_rng(SEED)
     return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(tables)]
 
@@ -267,11 +284,11 @@ def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, similar:
     that similarity meet with the recall of banded_parts, and a link counts only if the two texts share that much of their
     shingles."""
     spark = docs.sparkSession
-    rows = keep(fingerprints(docs, k, words, id_col, text_col), "fingerprints")
+    rows = keep(fingerprints(docs, k, words, id_col, text_col, different=similar is not None), "fingerprints")
     total, bits = rows.count(), 64 * words
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
     n = distinct.count()
-    parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar))
+    parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar), most)
     links = block_links(spark, distinct, parts, words, most)
     if similar is not None:
         links = similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), links, k, similar)

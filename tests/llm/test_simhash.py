@@ -155,3 +155,32 @@ def test_a_failed_link_hides_no_other(spark, monkeypatch):
         found = {r.node: r.component for r in connected_components(links).collect()}
         assert found == {i: 0 if i < 1000 else 1000 for i, _ in rows}
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(texts).collect()) == [0, 1000]
+
+
+def test_recall_at_every_size():
+    """Pairs just above 0.8, against all of them, whatever the number of fingerprints; texts that repeat passages among them."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(600):
+        w = [f"w{rng.randrange(10**7)}" for _ in range(400)]
+        v = [f"x{rng.randrange(10**7)}" for _ in range(3)] + w[3:]
+        for at in rng.sample(range(10, 390, 10), 8):
+            v[at] = f"y{rng.randrange(10**7)}"
+        assert 0.8 <= jaccard(" ".join(w), " ".join(v)) <= 0.85
+        pairs.append([np.unpackbits(np.frombuffer(simhash.fingerprint(" ".join(t).encode(), 5, 4, True), np.uint8)) for t in (w, v)])
+    a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    near = (a != b).sum(1) <= simhash.NEAR_BITS
+    for n in (100, 40_000, 10**6, 10**8):
+        met = np.zeros(len(pairs), bool)
+        for part in simhash.banded_parts(n, 256, simhash.bits_apart(0.8), simhash.NEAR_BITS):
+            met |= (a[:, part] == b[:, part]).all(1)
+        assert (met & near).mean() >= 0.975
+
+
+def test_repeats_move_no_wide_fingerprint(spark):
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    once, often = " ".join(w[:60] + w), " ".join(w[:60] * 10 + w)
+    assert jaccard(once, often) == 1
+    df = spark.createDataFrame([(1, once), (2, often)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [1]
