@@ -3,7 +3,7 @@
 Every document gets a fingerprint of ``words`` x 64 bits over its word shingles. Fingerprints within ``most`` differing
 bits are linked, and documents joined by links form a component.
 
-Links are sought between distinct fingerprints only. Fingerprints that may be near share a block: in the exact plan the
+Links are sought between distinct fingerprints only or, where texts are compared too, between distinct sets of shingles. Fingerprints that may be near share a block: in the exact plan the
 bits are cut into parts and near fingerprints agree on some of them (so no link is lost at any size); in the banded plan,
 for wide radii, blocks are seeded bit samples with a stated recall. Inside a block the pivot tables decide: Hamming
 distances to fixed reference fingerprints are computed once per fingerprint, a pair whose largest coordinate difference is
@@ -70,13 +70,19 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(s, SEED) for s in shingles(text, k)], np.uint64)
+
+
 def fingerprint(text: bytes, k: int, words: int = 1, different: bool = False) -> bytes:
     """Big-endian fingerprint of 8 x words bytes: a bit is 1 if it is set in over half the hashes of the shingles, or of the
     different shingles."""
-    h = xxhash.xxh64_intdigest
-    hashes = np.array([h(s, SEED) for s in shingles(text, k)], np.uint64)
-    if different:
-        hashes = np.unique(hashes)
+    hashes = shingle_hashes(text, k)
+    return majority(np.unique(hashes) if different else hashes, words)
+
+
+def majority(hashes: np.ndarray, words: int) -> bytes:
     if not len(hashes):
         return bytes(8 * words)
     out = b""
@@ -91,16 +97,25 @@ def fingerprint(text: bytes, k: int, words: int = 1, different: bool = False) ->
 
 
 def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
-    """(doc_id, fp binary) of whole texts."""
+    """(doc_id, fp binary, same binary) of whole texts. Rows with equal ``same`` are one to the links: that is the fingerprint,
+    or, for fingerprints of different shingles, a digest of their whole set."""
     short_batches(docs.sparkSession)
 
+    def both(text: bytes) -> tuple[bytes, bytes]:
+        hashes = shingle_hashes(text, k)
+        if not different:
+            return (fp := majority(hashes, words)), fp
+        hashes = np.unique(hashes)
+        return majority(hashes, words), xxhash.xxh3_128_digest(hashes.tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", k, words, different) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            found = [both(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.binary())]
+            columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fp", "same"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, fp binary")
+    return rows.mapInArrow(lean(run), "doc_id long, fp binary, same binary")
 
 
 def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
@@ -282,19 +297,19 @@ def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, similar:
 
     Without ``similar``, all fingerprints within ``most`` bits are linked. With it, blocks are bit samples in which texts of
     that similarity meet with the recall of banded_parts, and a link counts only if the two texts share that much of their
-    shingles."""
+    shingles; only texts with the same set of shingles are one without it, whatever their fingerprints."""
     spark = docs.sparkSession
     rows = keep(fingerprints(docs, k, words, id_col, text_col, different=similar is not None), "fingerprints")
     total, bits = rows.count(), 64 * words
-    distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
+    distinct = keep(rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
     n = distinct.count()
     parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar), most)
     links = block_links(spark, distinct, parts, words, most)
     if similar is not None:
         links = similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), links, k, similar)
     found = connected_components(links)
-    settled = distinct.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    return join_groups(rows, keep(settled, "components", n), "fp", "n", total).select("doc_id", "fp", "component_id")
+    settled = distinct.join(found, "node", "left").select("same", "n", F.coalesce("component", "node").alias("component_id"))
+    return join_groups(rows, keep(settled, "components", n), "same", "n", total).select("doc_id", "fp", "component_id")
 
 
 def bits_apart(similar: float) -> float:

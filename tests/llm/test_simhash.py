@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sonoframe.llm import simhash
 from sonoframe.llm.components import connected_components
@@ -184,3 +185,18 @@ def test_repeats_move_no_wide_fingerprint(spark):
     assert jaccard(once, often) == 1
     df = spark.createDataFrame([(1, once), (2, often)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [1]
+
+
+def test_equal_fingerprints_are_checked(spark, monkeypatch):
+    rng = random.Random(10)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, "same " * 404 + say(300)) for i in range(4)] + [(9, say(300))]
+    assert max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.1
+    df = spark.createDataFrame([*rows, (10, rows[0][1])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 1, 2, 3, 9]
+    # Texts of one fingerprint, as any two sets of shingles may be.
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **k: FINGERPRINTS(docs, *a, **k).withColumn("fp", F.lit(bytearray(32))))
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 1, 2, 3, 9]
+
+
+FINGERPRINTS = simhash.fingerprints
