@@ -46,7 +46,7 @@ NEAR_BITS = 54
 #: Rows of a block that are compared in one task; larger blocks are cut into tiles.
 TILE = 4096
 #: Shingles of a group of candidates whose texts are compared in one task; larger groups are cut into tiles.
-TILE_GRAMS = 1 << 19
+TILE_GRAMS = 1 << 16
 #: Pairs looked at at once, which bounds memory.
 PAIRS = 1 << 20
 
@@ -163,6 +163,7 @@ class Links:
 
     def __init__(self, fps: np.ndarray, most: int):
         self.fps, self.most, self.table = fps, most, pivot_table(fps, fps.shape[1]).T.copy()
+        self.by_word = fps.T.copy()
         self.forest = tuple(np.zeros(0, np.int64) for _ in range(3))
         self.seen = self.passed = 0
 
@@ -170,11 +171,15 @@ class Links:
         self.seen += len(i)
         for d in self.table:
             near = np.abs(d[i] - d[j]) <= self.most
-            before, i, j = len(i), i[near], j[near]
+            before = len(i)
+            if not near.all():
+                i, j = i[near], j[near]
             if len(i) > 0.95 * before:  # within wide radii the references tell nothing apart
                 break
         self.passed += len(i)
-        far = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(1)
+        far = np.zeros(len(i), np.int16)
+        for w in self.by_word:  # one word at a time, which bounds memory
+            far += np.bitwise_count(w[i] ^ w[j])
         near = far <= self.most
         if near.any():
             self.grow(i[near], j[near], far[near].astype(np.int64))
@@ -353,12 +358,18 @@ def tree_links(sets: DataFrame, links: DataFrame, checked: DataFrame, similar: f
     member = keep(member, "group-members")
     total = member.count()
     sizes = member.groupBy("group", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("trees"), F.sum("size").alias("size"), F.max_by("tree", F.struct("n", "tree")).alias("main"))
-    sizes = sizes.where("trees > 1 AND n > 2").select("group", "n", "main", F.ceil(F.col("size") / TILE_GRAMS).cast("int").alias("tiles"))
+    sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("trees"), F.sum("size").alias("size"), F.max_by(F.struct("tree", "size"), F.struct("n", "tree")).alias("main"))
+    # The tiles of the largest tree come after the others, and meet only those.
+    apart = F.ceil((F.col("size") - F.col("main.size")) / TILE_GRAMS).cast("int")
+    largest = F.ceil(F.col("main.size") / TILE_GRAMS).cast("int")
+    sizes = sizes.where("trees > 1 AND n > 2").select("group", "n", F.col("main.tree").alias("main"), apart.alias("apart"), largest.alias("largest"))
     sizes = keep(sizes, "open-groups", total)
-    cut = join_groups(member.drop("size"), sizes, "group", "n", total).select("group", "doc_id", "tree", (F.col("tree") == F.col("main")).alias("in_main"), "tiles")
-    cut = cut.join(sets.select("doc_id", "grams"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cut = join_groups(member.drop("size"), sizes, "group", "n", total).select("group", "doc_id", "tree", (F.col("tree") == F.col("main")).alias("in_main"), "apart", "largest")
+    number = F.xxhash64("doc_id")
+    tile = F.when(F.col("in_main"), F.col("apart") + F.pmod(number, F.col("largest"))).otherwise(F.pmod(number, F.col("apart"))).cast("int")
+    cut = cut.join(sets.select("doc_id", "grams"), "doc_id").withColumn("tile", tile)
+    meets = F.when(F.col("in_main"), F.col("apart")).otherwise(F.col("apart") + F.col("largest"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     cut = cut.select("group", "doc_id", "tree", "in_main", "grams", "tile", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
