@@ -181,7 +181,7 @@ def test_recall_at_every_size():
 def test_repeats_move_no_wide_fingerprint(spark):
     rng = random.Random(9)
     w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-    once, often = " ".join(w[:30] * 2 + w), " ".join(w[:30] * 20 + w)
+    once, often = " ".join(w[:30] * 2 + w[30:]), " ".join(w[:30] * 20 + w[30:])
     bits = [np.frombuffer(simhash.fingerprint(t.encode(), 5, 4), np.uint8) for t in (once, often)]
     assert np.bitwise_count(bits[0] ^ bits[1]).sum() > simhash.NEAR_BITS  # all shingles, repeats too, lead too far apart
     assert jaccard(once, often) == 1
