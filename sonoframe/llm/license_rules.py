@@ -11,7 +11,7 @@ import json
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
 #: A text without any of these, in lower case, matches no rule and no base phrase.
-GATES = ("licen", "gpl", "rights", "copyright", "creative", "domain", "spdx", "wtfpl", "cc0", "copyleft", "gfdl", "hereby")
+GATES = ("licen", "gpl", "rights", "copyright", "creative", "domain", "spdx", "wtfpl", "cc0", "copyleft", "gfdl", "hereby", "redistribution", "permission", "neither")
 GATE_CC = "cc[^0-9a-z]+by"
 
 _L = "licen[sc]e"
@@ -60,6 +60,13 @@ NAMED = [
     ("bigscience (?:open )?rail", "rail", ["1 0"]),
     ("llama community", "llama-community", ["2", "3"]),
 ]
+#: Short names in SPDX ids, by label, where they aren't the names above.
+SHORT = {
+    "epl": "epl", "cddl": "cddl", "cpl": "cpl", "eupl": "eupl", "boost": "bsl", "afl": "afl", "osl": "osl", "ofl": "ofl", "ms-pl": "ms pl", "ms-rl": "ms rl",
+    "psf": "psf", "ncsa": "ncsa", "sspl": "sspl", "busl": "busl", "odbl": "odbl", "odc-by": "odc by", "cdla": "cdla (?:permissive|sharing)", "ogl": "ogl uk",
+}
+#: Other SPDX ids and their labels.
+IDS = [("mpl 1 0", "mpl-1.0"), ("mpl 1 1", "mpl-1.1"), ("0bsd", "0bsd"), ("unlicense", "unlicense"), ("python 2 0", "psf-2")]
 #: (name, short name, label, versions).
 GNU = [
     ("general public", "gpl", "gpl", ["1", "2", "3"]),
@@ -81,9 +88,9 @@ SINGLE = [
     ("creativecommons org publicdomain mark 1 0", "creativecommons", "public-domain", 0.95),
     ("(?:dedicated|released|placed|is) (?:to|in|into) the public domain", "public domain", "public-domain", 0.8),
     ("permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", "mit", 0.95),
-    (f"permission to use copy modify and or distribute this software[a-z ]{{0,80}} {_L}", "licen", "isc", 0.6),
-    (f"redistribution and use in source and binary forms[a-z ]{{0,200}} copyright", "copyright", "bsd", 0.9),
-    ("neither the name of [^.]{1,80} may be used[a-z ]{0,80} copyright", "copyright", "bsd-3-clause", 0.9),
+    ("permission to use copy modify and (?:or )?distribute this software", "permission to use", "isc", 0.6),
+    ("redistribution and use in source and binary forms", "redistribution", "bsd", 0.9),
+    ("neither the name of [^.]{1,160} may be used", "neither the name", "bsd-3-clause", 0.9),
     (f"(?:all )?rights (?:are )?reserved without (?:a )?{_L}", "rights", "proprietary", 0.9),
     ("some rights reserved", "some rights reserved", "some-rights", 0.7),
     ("no rights reserved", "no rights reserved", "public-domain", 0.7),
@@ -135,6 +142,12 @@ def signature_rules() -> list[dict]:
             tag = label + "-" + v.replace(" ", ".")
             add(f"{name} (?:software )?{_L} v(?:ersion)? ?{v}", keyword, tag, 4, 0.97)
             add(f"spdx {_L} identifier {name} {v}", "spdx", tag, 5, 0.99)
+            if label in SHORT:
+                add(f"spdx {_L} identifier {SHORT[label]} {v}", "spdx", tag, 5, 0.99)
+        if label in SHORT:
+            add(f"spdx {_L} identifier {SHORT[label]}", "spdx", label, 4, 0.97)
+    for name, label in IDS:
+        add(f"spdx {_L} identifier {name}", "spdx", label, 5, 0.99)
     for expression, keyword, label, confidence in SINGLE:
         add(expression, keyword, label, 2, confidence)
     return out

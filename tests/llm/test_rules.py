@@ -135,3 +135,25 @@ def test_no_urls(spark):
 def test_the_same_lists_twice(spark):
     df = spark.createDataFrame([(1, "a://b.org/")], "page_id long, url string")
     assert [U.judge_urls(df, U.RULES, U.BLOCKED).first().rule for _ in range(2)] == ["org/"] * 2
+
+
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions."""
+BSD_3 = """3. Neither the
+name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies."""
+WHOLE = [(BSD_2, "bsd"), (BSD_3, "bsd-3-clause"), (BSD_2 + BSD_3, "bsd,bsd-3-clause"), (ISC, "isc"), (ISC.replace("and/or", "and"), "isc")]
+SPDX = {
+    "MPL-1.1": "mpl-1.1", "EPL-2.0": "epl-2.0", "CDDL-1.0": "cddl-1.0", "CPL-1.0": "cpl-1.0", "EUPL-1.2": "eupl-1.2", "BSL-1.0": "boost-1.0", "OFL-1.1": "ofl-1.1",
+    "AFL-3.0": "afl-3.0", "OSL-3.0": "osl-3.0", "MS-PL": "ms-pl", "MS-RL": "ms-rl", "PSF-2.0": "psf-2", "NCSA": "ncsa", "SSPL-1.0": "sspl-1", "BUSL-1.1": "busl-1.1",
+    "ODbL-1.0": "odbl-1.0", "ODC-By-1.0": "odc-by-1.0", "CDLA-Permissive-2.0": "cdla-2.0", "OGL-UK-3.0": "ogl-3.0", "0BSD": "0bsd", "Unlicense": "unlicense", "Python-2.0": "psf-2",
+}
+
+
+def test_whole_licenses_and_spdx_ids(spark):
+    texts = [*WHOLE, *((f"SPDX-License-Identifier: {x}", label) for x, label in SPDX.items())]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [label for _, label in texts]
