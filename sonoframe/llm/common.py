@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
+import re
 import sys
 import tempfile
 import uuid
@@ -15,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A run of ASCII white space, as Java's regex engine writes it; words are what lies between.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,9 +34,12 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where all run in one process,
+    as in tests, it may be unset; a folder of our own is set then."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sonoframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,6 +77,39 @@ def full_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with all their columns in one struct ``row``, and ``columns`` beside it, so that no name can clash."""
+    return docs.select(F.struct("*").alias("row"), *[x.alias(name) for name, x in columns.items()])
+
+
+def in_order(rows: DataFrame, order: list[Column], sums: dict[str, str], label: str, n: int) -> DataFrame:
+    """``rows`` (about ``n``) with running sums over their global order, each row's own value included: ``sums`` maps long
+    columns (no nulls, none below zero) to the names of their running sums.
+
+    Rows are range-sorted, each partition sums its own part, and what the partitions before it sum to, one line for each
+    partition, is added. ``order`` should tell rows apart, for rows that are equal in it share a partition."""
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(min(partitions(spark), n // FILE_ROWS + 1), *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*dealt.schema.fields, *[T.StructField(x, T.LongType()) for x in sums.values()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = dict.fromkeys(sums, 0)
+        for b in batches:
+            upto = []
+            for c in sums:
+                upto.append(so_far[c] + np.cumsum(b.column(c).to_numpy(), dtype=np.int64))
+                so_far[c] = int(upto[-1][-1]) if b.num_rows else so_far[c]
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, upto)], schema.names)
+
+    placed = keep(dealt.mapInArrow(run, schema), label)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one line per partition
+    parts = placed.groupBy("part").agg(*[F.max(x).alias(x) for x in sums.values()])
+    parts = parts.select("part", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x} before") for x in sums.values()])
+    both = placed.join(F.broadcast(parts), "part")
+    return both.select(*rows.columns, *[(F.col(x) + F.col(f"{x} before")).alias(x) for x in sums.values()])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with one line per key, in which ``size`` counts the rows of that key.
 

@@ -2,7 +2,10 @@ import random
 
 import pytest
 
+#: Columns that operators might use inside.
+CLASHING = "row y _id _digest _n _words _text _size _taken _quality _scored queue turn hash start host line key vector part place kept fp node".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row_id string, digest int, n string, score string, size string, words string, label string"
+SCHEMA += "".join(f", {c} string" for c in CLASHING)
 
 
 def word(rng):
@@ -25,7 +28,7 @@ def odd_rows():
     texts += ["Shared line of the site here.\n" + " ".join(word(rng) for _ in range(60)) for _ in range(30)]
     rows = []
     for i, t in enumerate(texts):
-        rows.append((i * 3, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "", None]), None, "x", 1, "y", "z", "w", "v", "u"))
+        rows.append((i * 3, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "", None]), None, "x", 1, "y", "z", "w", "v", "u", *CLASHING))
     return rows + rows[5:9]  # repeated rows
 
 
