@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sonoframe.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
 from sonoframe.llm.common import fresh_path, keep
@@ -12,8 +11,7 @@ from sonoframe.llm.common import fresh_path, keep
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier accepts."""
     model = quality_classifier.train(docs, quality_classifier.taught(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    scored = quality_classifier.score(docs, model, carry=tuple(docs.columns), name="_quality")
-    return scored.where(F.col("_quality") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    return quality_classifier.good(docs, model)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

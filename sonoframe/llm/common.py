@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import io
 import math
 import re
 import sys
@@ -15,6 +16,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,6 +142,48 @@ def without_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), same, "left_anti")
 
 
+def sampled(rows: DataFrame, most: int, label: str) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes over all their columns, with that hash as ``key``; of rows that
+    are equal one. Only hashes are sorted, so no task holds many texts."""
+    rows = rows.withColumn("key", F.xxhash64(*rows.columns))
+    last = rows.select("key").distinct().orderBy("key").limit(most).agg(F.max("key").alias("key")).first()["key"]
+    some = rows.where(F.col("key") <= F.lit(last)) if last is not None else rows.where("false")
+    return keep(some.groupBy("key").agg(F.first(F.struct(*rows.columns)).alias("row")).select("row.*"), label)
+
+
+def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    with store.open_output_stream(at, compression=None) as out:
+        out.write(data.getbuffer())
+
+
+def load_arrays(path: str) -> dict[str, np.ndarray]:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as source, np.load(io.BytesIO(source.read())) as found:
+        return {name: found[name] for name in found.files}
+
+
+def built_file(rows: DataFrame, make: Callable[[pa.Table | None], dict[str, np.ndarray]], label: str) -> str:
+    """Path of a file in the shared folder with the arrays that ``make`` makes of a whole table (None: no rows), whose size
+    was checked. One task builds it, so neither the driver nor a broadcast holds it; a task that runs again writes its own."""
+    path = fresh_path(rows.sparkSession, label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        at = f"{path}-{TaskContext.get().taskAttemptId()}.npz"
+        save_arrays(at, make(pa.Table.from_batches(found) if found else None))
+        yield pa.RecordBatch.from_pydict({"path": [at]})
+
+    done = rows.coalesce(1).mapInArrow(lean(run), "path string").collect()
+    if done:
+        return done[0]["path"]
+    save_arrays(f"{path}.npz", make(None))
+    return f"{path}.npz"
+
+
 def lean(run: Callable) -> Callable:
     """A function for mapInArrow after which the worker, which Spark keeps for other tasks, gives memory back."""
 

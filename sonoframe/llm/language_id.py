@@ -4,30 +4,34 @@ Each language has log frequencies of its words, and of character n-grams of 5 do
 A known word scores by its own log frequencies. An unseen word falls back to n-grams: the longest length at which the
 sample knows any of its n-grams, shorter ones only if none is known. The language with the largest sum wins.
 
-The sample has SAMPLE labelled documents at most, those with the smallest hashes of their ids; the tables keep the VOCABULARY
-most frequent words and GRAMS most frequent n-grams of each length. Texts are scored whole.
+The sample has SAMPLE labelled documents at most, those with the smallest hashes of their rows; where these have more than
+MOST_PAIRS different pairs of language and word, half as many are taken until they fit. All words of the sample and all
+n-grams of those are kept, by their 64-bit hashes, with numbers only for the languages that have them, in a file of the
+shared folder that every worker loads. Texts are scored whole.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; without any labelled text every text is;
-repeated documents keep their row; ties go to the language that sorts first; an empty table gives an empty result; other
-columns are ignored.
+repeated documents keep their row, and teach once; null ids teach as others do; very long texts are read whole; ties go to
+the language that sorts first; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, lean, pieces_between, short_batches
+from sonoframe.llm.common import WordTable, built_file, crc32_of_id, keep, lean, load_arrays, pieces_between, ragged, sampled, short_batches
 
 SAMPLE = 20_000
-VOCABULARY = 40_000
-GRAMS = 60_000
+#: Pairs of language and word that one task and each worker hold at most.
+MOST_PAIRS = 4_000_000
 LONGEST = 5
 #: Added to every count, so that no frequency is zero.
 FLOOR = 0.5
@@ -68,44 +72,105 @@ def grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield n, all_h[n - 1][whole], begin[whole]
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+class Frequencies:
+    """Log frequencies of keys by language, stored for the languages that have a key; the others have the floor."""
+
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, langs: np.ndarray, extra: np.ndarray, floor: np.ndarray):
+        self.arrays = {"keys": keys, "ends": ends, "langs": langs, "extra": extra, "floor": floor}
+        self.keys, self.ends, self.langs, self.extra, self.floor = keys, ends, langs, extra, floor
+        self.begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+
+    @classmethod
+    def counted(cls, key: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int) -> Frequencies:
+        """From counts n of (key, lang), which may repeat."""
+        order = np.lexsort((lang, key))
+        key, lang, n = key[order], lang[order], n[order]
+        new_key = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        new = new_key.copy()
+        new[1:] |= lang[1:] != lang[:-1]
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(n, first) if len(first) else n
+        lang, keys = lang[first], key[new_key]
+        ends = np.append(np.flatnonzero(new_key[first])[1:], len(first)) if len(first) else np.zeros(0, np.int64)
+        total = np.bincount(lang, n, languages) + FLOOR * len(keys) + 1
+        return cls(keys, ends.astype(np.int64), lang.astype(np.int32), np.log((n + FLOOR) / FLOOR).astype(np.float32), np.log(FLOOR / total).astype(np.float32))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def logs(self, at: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """For n words, the sums over their keys at ``at``, of which ``of`` names the words (n x languages)."""
+        wide = len(self.floor)
+        size = self.ends[at] - self.begin[at]
+        pairs = ragged(self.begin[at], size)
+        extra = np.bincount(np.repeat(of, size) * wide + self.langs[pairs], self.extra[pairs], n * wide).reshape(n, wide)
+        return extra + np.bincount(of, minlength=n)[:, None] * self.floor.astype(np.float64)
+
+
 class LanguageModel:
-    """From counts of words by language: {word: {language: count}}."""
+    """Frequencies of words and n-grams. From counts of words by language (words x languages)."""
 
     def __init__(self, languages: list[str], words: list[str], counts: np.ndarray):
+        word, lang = np.nonzero(counts)
+        self._count(languages, [words[i] for i in word.tolist()], lang, counts[word, lang])
+
+    def _count(self, languages: list[str], words: list[str], lang: np.ndarray, n: np.ndarray) -> None:
         self.languages = languages
-        kept = np.argsort(-counts.sum(1), kind="stable")[:VOCABULARY] if len(words) else np.zeros(0, np.int64)
-        self.words = {words[i]: k for k, i in enumerate(kept.tolist())}
-        total = counts.sum(0) + FLOOR * len(words) + 1
-        self.word_logs = np.log((counts[kept] + FLOOR) / total).astype(np.float32)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, h, of in grams(words):
-            keys, inverse = np.unique(h, return_inverse=True)
-            sums = np.stack([np.bincount(inverse, counts[of, j], len(keys)) for j in range(len(languages))], 1) if len(languages) else np.zeros((len(keys), 0))
-            most = np.sort(np.argsort(-sums.sum(1), kind="stable")[:GRAMS])
-            self.grams[n] = keys[most], np.log((sums[most] + FLOOR) / (sums.sum(0) + FLOOR * len(keys) + 1)).astype(np.float32)
+        self.words = Frequencies.counted(hashes(words), lang, n, len(languages))
+        self.grams = {k: Frequencies.counted(h, lang[of], n[of], len(languages)) for k, h, of in grams(words)}
+
+    @classmethod
+    def of_pairs(cls, languages: list[str], words: list[str], lang: np.ndarray, n: np.ndarray) -> LanguageModel:
+        """From counts n of pairs of a word and a language."""
+        model = cls.__new__(cls)
+        model._count(languages, words, lang, n)
+        return model
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        tables = {0: self.words} | self.grams
+        return {"languages": np.array([x.encode() for x in self.languages], object).astype("S"), **{f"{k}_{name}": a for k, t in tables.items() for name, a in t.arrays.items()}}
+
+    @classmethod
+    def of_arrays(cls, arrays: dict[str, np.ndarray]) -> LanguageModel:
+        model = cls.__new__(cls)
+        model.languages = [x.decode() for x in arrays["languages"].tolist()]
+        tables = {k: Frequencies(*[arrays[f"{k}_{name}"] for name in ("keys", "ends", "langs", "extra", "floor")]) for k in range(LONGEST + 1)}
+        model.words = tables.pop(0)
+        model.grams = tables
+        return model
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log frequencies (words x languages)."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        place = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        out[place >= 0] = self.word_logs[place[place >= 0]]
+        out = np.zeros((len(words), len(self.languages)))
+        place = self.words.find(hashes(words))
+        known = np.flatnonzero(place >= 0)
+        out[known] = self.words.logs(place[known], np.arange(len(known)), len(known))
         open_ = np.flatnonzero(place < 0)
         # Every length is looked up over the words that no longer one has settled.
         for n in range(LONGEST, 0, -1):
             if not len(open_):
                 break
             _, h, of = next(x for x in grams([words[i] for i in open_.tolist()]) if x[0] == n)
-            keys, logs = self.grams[n]
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            at, of = at[hit], of[hit]
+            at = self.grams[n].find(h)
+            of, at = of[at >= 0], at[at >= 0]
             found = np.bincount(of, minlength=len(open_))
             some = found > 0
-            for j in range(len(self.languages)):
-                mean = np.bincount(of, logs[at, j], len(open_))[some] / found[some]
-                out[open_[some], j] = mean
+            out[open_[some]] = self.grams[n].logs(at, of, len(open_))[some] / found[some, None]
             open_ = open_[~some]
-        return out
+        return out.astype(np.float32)
+
+
+@lru_cache(1)
+def loaded(path: str) -> LanguageModel:
+    return LanguageModel.of_arrays(load_arrays(path))
 
 
 class Identifier:
@@ -141,44 +206,52 @@ class Identifier:
         return names, np.where(none, 0.0, p)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    spark = docs.sparkSession
-    short_batches(spark)
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of batches of (text, lang)."""
+    for b in batches:
+        pieces, n = pieces_of(b.column(0))
+        langs = b.column(1).to_pylist()
+        total: dict = defaultdict(int)
+        per = np.repeat(np.arange(len(n)), n)
+        coded = pieces.dictionary_encode()
+        words = [core(p) for p in coded.dictionary.to_numpy(zero_copy_only=False)]
+        pair, times = np.unique(per * len(words) + coded.indices.to_numpy(), return_counts=True) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for k, c in zip(pair.tolist(), times.tolist(), strict=True):
+            if w := words[k % len(words)]:
+                total[langs[k // len(words)], w] += c
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> str:
+    """Path of the model's file."""
+    short_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    some = known.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    rows = known.join(F.broadcast(some), F.col(id_col).eqNullSafe(F.col("_id")))  # SAMPLE ids at most
-    rows = rows.select(full_text(F.col(text_col)).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces, n = pieces_of(b.column(0))
-            langs = b.column(1).to_pylist()
-            total: dict = defaultdict(int)
-            per = np.repeat(np.arange(len(n)), n)
-            coded = pieces.dictionary_encode()
-            words = [core(p) for p in coded.dictionary.to_numpy(zero_copy_only=False)]
-            pair, times = np.unique(per * len(words) + coded.indices.to_numpy(), return_counts=True) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            for k, c in zip(pair.tolist(), times.tolist(), strict=True):
-                if w := words[k % len(words)]:
-                    total[langs[k // len(words)], w] += c
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
-
-    counts = keep(rows.mapInArrow(lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    # The words that n-grams are counted from, and among them those that score as words: a bounded number.
-    top = counts.groupBy("word").agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)])
-    table = top.orderBy(F.desc("all"), "word").limit(4 * VOCABULARY).toPandas()
-    return LanguageModel(languages, table["word"].tolist(), table[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64))
-
-
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # VOCABULARY words and GRAMS n-grams of each length at most
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    while True:
+        rows = sampled(known, sample, "language-sample").select("text", "lang")
+        counts = keep(rows.mapInArrow(lean(count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+        if counts.count() <= MOST_PAIRS or sample == 1:
+            break
+        sample //= 2
+
+    def make(table: pa.Table | None) -> dict[str, np.ndarray]:
+        if table is None:
+            return LanguageModel([], [], np.zeros((0, 0))).arrays()
+        coded = table["lang"].combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        languages = sorted(names)
+        lang = np.array([languages.index(x) for x in names])[coded.indices.to_numpy()]
+        return LanguageModel.of_pairs(languages, table["word"].to_pylist(), lang, table["n"].to_numpy().astype(np.float64)).arrays()
+
+    return built_file(counts, make, "language-model")
+
+
+def identify(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score; ``model`` is the path that train gives."""
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Identifier(shared.value).judge
+        judge = Identifier(loaded(model)).judge
         for b in batches:
             names, p = judge(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])

@@ -8,17 +8,21 @@ triple that stands earlier in the text, one for each line begun; the last number
 its words' vectors. The network is trained by Adam on
 the driver over one short vector per sampled document; its temperature is fitted on rows that it was not trained on.
 
-The sample has SAMPLE labelled rows at most, those with the smallest hashes of their ids. Texts are scored whole.
+The sample has SAMPLE labelled rows at most, those with the smallest hashes; where these have more than MOST_WORDS different
+words, half as many are taken until they fit. All words of the sample have context vectors, found by the words' hashes in a
+file of the shared folder that every worker loads. Texts are scored whole.
 
 Defined cases: a null or empty text has the vector zero and still gets a score; null labels and labels without a document
-teach nothing; repeated label rows count each; repeated documents keep their row; without both classes in the sample the
-score is the share of class 1 (0.5 without labels); an empty table gives an empty result; other columns are ignored.
+teach nothing; label rows and documents that are repeated teach once, and such documents keep their rows; equal hashes of
+sampled rows are one row's; very long texts are read whole; without both classes in the sample the score is the share of class 1 (0.5
+without labels); an empty table gives an empty result; other columns are carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.llm.common import WordTable, crc32_of_id, full_text, keep, lean, pieces_between, short_batches
+from sonoframe.llm.common import WordTable, built_file, crc32_of_id, full_text, keep, lean, load_arrays, packed, pieces_between, sampled, short_batches
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 8000
-#: Words of the sample that get a context vector: the most frequent ones.
-VOCABULARY = 20_000
+#: Different words that one task and each worker hold at most.
+MOST_WORDS = 4_000_000
 DIM = 32
 NONZERO = 6
 SHAPES = 512
@@ -47,11 +51,18 @@ SEED = 7
 _RUNS = [(re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0")]
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
 def index_vectors(words: list[str], dim: int = DIM) -> np.ndarray:
+    return vectors_of(hashes(words), dim)
+
+
+def vectors_of(h: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Sparse ternary vectors drawn from the words' hashes."""
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    out = np.zeros((len(words), dim), np.float32)
-    at = np.arange(len(words))
+    out = np.zeros((len(h), dim), np.float32)
+    at = np.arange(len(h))
     for k in range(NONZERO):
         part = (h >> np.uint64(10 * k)) & np.uint64(1023)
         out[at, (part >> np.uint64(1)) % np.uint64(dim)] += np.where(part & np.uint64(1), 1, -1).astype(np.float32)
@@ -65,22 +76,22 @@ def shape(word: str) -> str:
 
 
 class Featurizer:
-    """Vectors of documents; ``context`` maps known words to their vectors."""
+    """Vectors of documents; ``known`` are the sorted hashes of known words, ``context`` their vectors."""
 
-    def __init__(self, known: list[str], context: np.ndarray):
-        self.known, self.context = dict(zip(known, range(len(known)), strict=True)), context
+    def __init__(self, known: np.ndarray, context: np.ndarray):
+        self.known, self.context = known, context
         self.shape_rows = index_vectors([f"\0shape{i}" for i in range(SHAPES)])
         self.words = WordTable(self._make, np.float32, limit=100_000)
 
     def _make(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = np.zeros((len(words), DIM + 1), np.float32)
-        rows[:, :DIM] = index_vectors(words)
-        for i, w in enumerate(words):
-            rows[i, DIM] = xxhash.xxh64_intdigest(shape(w), SEED) % SHAPES
-        found = [(i, self.known[w]) for i, w in enumerate(words) if w in self.known]
-        if found:
-            at, of = np.array(found).T
-            rows[at, :DIM] += self.context[of] * NONZERO**0.5
+        h = hashes(words)
+        rows[:, :DIM] = vectors_of(h)
+        rows[:, DIM] = (hashes([shape(w) for w in words]) % np.uint64(SHAPES)).astype(np.float32)
+        if len(self.known):
+            of = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = self.known[of] == h
+            rows[hit, :DIM] += self.context[of[hit]] * NONZERO**0.5
         return rows.ravel(), np.full(len(words), DIM + 1)
 
     def vectors(self, texts: pa.Array) -> np.ndarray:
@@ -175,54 +186,80 @@ def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pieces.to_numpy(zero_copy_only=False), n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Featurizer, Network]:
-    """``labels`` has doc_id and quality."""
+@lru_cache(1)
+def word_vectors(path: str) -> tuple[np.ndarray, np.ndarray]:
+    found = load_arrays(path)
+    return found["known"], found["context"]
+
+
+CONTEXT = [f"c{i}" for i in range(DIM)]
+
+
+def sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c0, c1, ...): the hashes of a partition's words and the sums of their neighbours' index vectors, which are whole
+    numbers, so that no order of adding changes them."""
+    number: dict[str, int] = {}
+    sums = np.zeros((1 << 14, DIM), np.int32)
+    for b in batches:
+        words, n = _words_of(b.column(0))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        mine = coded.dictionary.to_pylist()
+        for w in mine:
+            if w:
+                number.setdefault(w, len(number))
+        while len(number) > len(sums):
+            sums = np.concatenate([sums, np.zeros_like(sums)])
+        index = index_vectors(mine).astype(np.int32)
+        place = coded.indices.to_numpy()
+        row = np.array([number.get(w, -1) for w in mine], np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        for k in range(1, WINDOW + 1):
+            near = np.flatnonzero((doc[k:] == doc[:-k]) & (row[place[k:]] >= 0) & (row[place[:-k]] >= 0)) if len(doc) > k else np.zeros(0, np.int64)
+            for i in range(0, len(near), 1 << 16):
+                a, z = place[near[i : i + (1 << 16)]], place[near[i : i + (1 << 16)] + k]
+                for one, other in ((a, z), (z, a)):
+                    order = np.argsort(row[one], kind="stable")
+                    begin = np.flatnonzero(np.diff(row[one][order], prepend=-1))
+                    sums[row[one][order][begin]] += np.add.reduceat(index[other[order]], begin, axis=0)
+    keys = hashes(list(number)).view(np.int64)
+    for i in range(0, len(keys), 1 << 14):
+        part = sums[i : min(len(keys), i + (1 << 14))]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 14)]), *[pa.array(part[:, k].copy()) for k in range(DIM)]], ["word", *CONTEXT])
+
+
+def make_vectors(table: pa.Table | None) -> dict[str, np.ndarray]:
+    if table is None:
+        return {"known": np.zeros(0, np.uint64), "context": np.zeros((0, DIM), np.float32)}
+    known = table["word"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    context = np.stack([table[c].to_numpy() for c in CONTEXT], 1)[order].astype(np.float32)
+    return {"known": known[order], "context": context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)}
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[str, Network]:
+    """The path of the word vectors' file, and the network. ``labels`` has doc_id and quality."""
     spark = docs.sparkSession
     short_batches(spark)
-    some = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("y")).where("y IS NOT NULL AND _id IS NOT NULL")
-    some = some.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(full_text(F.col(text_col)).alias("text"), "y", "_id")
-    rows = keep(rows.coalesce(8), "labelled")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, n = np.unique(_words_of(b.column(0))[0].astype(object), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], ["word", "n"])
-
-    counts = rows.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1 AND word <> ''").orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    known = top["word"].tolist()
-    number = dict(zip(known, range(len(known)), strict=True))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = index_vectors(known)
-        total = np.zeros_like(table)
-        for b in batches:
-            words, n = _words_of(b.column(0))
-            place = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-            doc = np.repeat(np.arange(len(n)), n)
-            for k in range(1, WINDOW + 1):
-                near = (doc[k:] == doc[:-k]) & (place[k:] >= 0) & (place[:-k] >= 0)
-                a, z = place[:-k][near], place[k:][near]
-                for i in range(0, len(a), 1 << 17):
-                    np.add.at(total, a[i : i + (1 << 17)], table[z[i : i + (1 << 17)]])
-                    np.add.at(total, z[i : i + (1 << 17)], table[a[i : i + (1 << 17)]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    sums = [np.frombuffer(r["sums"], np.float32).reshape(-1, DIM) for r in rows.select("text").mapInArrow(lean(contexts), "sums binary").collect()]
-    context = sum(sums, np.zeros((len(known), DIM), np.float32))
-    context = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    featurizer = Featurizer(known, context)
-    found = featurize(rows, featurizer, ["y", "_id"]).orderBy("_id", "y").toPandas()
+    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("y IS NOT NULL AND id IS NOT NULL")
+    texts = docs.select(F.col(id_col).alias("id"), full_text(F.col(text_col)).alias("text"))
+    while True:
+        some = known.distinct().orderBy(F.xxhash64("id", "y"), "id", "y").limit(sample)
+        # Ids that many rows share are sampled again.
+        rows = sampled(texts.join(F.broadcast(some), "id").select("id", "y", "text"), sample, "labelled").coalesce(8)
+        sums = rows.select("text").mapInArrow(lean(sum_contexts), "word long, " + ", ".join(f"{c} int" for c in CONTEXT))
+        sums = keep(sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in CONTEXT]), "word-contexts")
+        if sums.count() <= MOST_WORDS or sample == 1:
+            break
+        sample //= 2
+    path = built_file(sums, make_vectors, "word-vectors")
+    found = featurize(rows.select("text", "y", F.xxhash64("id", "y", "text").alias("key")), path, ["y", "key"]).orderBy("key").toPandas()
     x = np.array(found["vector"].tolist(), np.float64).reshape(len(found), 2 * DIM + 4)
-    return featurizer, Network(x, found["y"].to_numpy(np.float64))
+    return path, Network(x, found["y"].to_numpy(np.float64))
 
 
-def featurize(rows: DataFrame, featurizer: Featurizer, others: list[str]) -> DataFrame:
-    known, context = featurizer.known, featurizer.context
-
+def featurize(rows: DataFrame, path: str, others: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Featurizer(list(known), context)
+        f = Featurizer(*word_vectors(path))
         for b in batches:
             x = f.vectors(b.column(0))
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
@@ -232,25 +269,33 @@ def featurize(rows: DataFrame, featurizer: Featurizer, others: list[str]) -> Dat
     return rows.select("text", *others).mapInArrow(lean(run), "vector array<float>, " + ", ".join(f"{c} {kinds[c]}" for c in others))
 
 
-def score(docs: DataFrame, model: tuple[Featurizer, Network], text_col: str = "text", carry: tuple = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns ``carry`` and the score of each whole text."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    featurizer, network = model
-    shared = spark.sparkContext.broadcast((list(featurizer.known), featurizer.context, network))  # VOCABULARY words at most
-    rows = docs.select(F.col(text_col).alias("_scored"), *[F.col(c) for c in carry])
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField(name, T.DoubleType())])
+def scored(docs: DataFrame, model: tuple[str, Network], text_col: str = "text") -> DataFrame:
+    """``row``, a struct of the columns of docs, and ``score``, that of each whole text."""
+    short_batches(docs.sparkSession)
+    path, network = model
+    rows = packed(docs)
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, context, net = shared.value
-        f = Featurizer(known, context)
+        f = Featurizer(*word_vectors(path))
         for b in batches:
-            p = net.scores(f.vectors(b.column(0)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], [*carry, name])
+            p = network.scores(f.vectors(b.column(0).field(text_col)).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["row", "score"])
 
     return rows.mapInArrow(lean(run), schema)
 
 
+def score(docs: DataFrame, model: tuple[str, Network], text_col: str = "text", carry: tuple = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``carry`` and the score of each whole text."""
+    found = scored(docs.select(*dict.fromkeys([*carry, text_col])), model, text_col)
+    return found.select(*[F.col("row")[c].alias(c) for c in carry], F.col("score").alias(name))
+
+
+def good(docs: DataFrame, model: tuple[str, Network], text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The documents with that score at least, with the columns they came with."""
+    return scored(docs, model, text_col).where(F.col("score") >= least).select("row.*")
+
+
 def taught(labels: DataFrame) -> DataFrame:
     """The label rows that may be learned from."""
     return labels.where(crc32_of_id(F.col("doc_id")) % 5 != 0)
