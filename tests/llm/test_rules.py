@@ -6,7 +6,7 @@ import pytest
 from sonoframe.llm import url_filter as U
 from sonoframe.llm.license_rules import BASE, GATES, signature_rules
 from sonoframe.llm.license_scan import scan
-from sonoframe.llm.quality_rules import quality_rules
+from sonoframe.llm.quality_rules import cleaned_documents, quality_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,12 +15,12 @@ def test_quality_rules(odd, odd_rows, empty):
     got = defaultdict(list)
     for r in quality_rules(odd, line_docs=5).collect():
         got[r.doc_id].append(r)
-    texts_with = defaultdict(set)
+    docs_with = defaultdict(set)
     norm = lambda x: " ".join(re.findall(WORD, re.sub("[0-9]+", "0", x.lower())))
     for r in odd_rows:
         for x in (r[1] or "").split("\n"):
             if re.search(WORD, x):
-                texts_with[r[3], norm(x)].add(r[1])
+                docs_with[r[3], norm(x)].add((r[0], r[1]))
     assert sum(map(len, got.values())) == len(odd_rows)
     for r in odd_rows:
         t, g = r[1] or "", got[r[0]][0]
@@ -29,7 +29,7 @@ def test_quality_rules(odd, odd_rows, empty):
         win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         c = Counter(win)
         rep = len({i + k for i, x in enumerate(win) if c[x] > 1 for k in range(3)})
-        removed = sum(len(norm(x).split(" ")) for x in lines if len(texts_with[r[3], norm(x)]) > 5)
+        removed = sum(len(norm(x).split(" ")) for x in lines if len(docs_with[r[3], norm(x)]) > 5)
         assert (g.n_words, g.word_chars, g.n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
         assert (g.n_dup_lines, g.n_repeat_words, g.words_removed) == (len(lines) - len(set(lines)), rep, removed)
         failed = len(w) < 50 or 100 * rep > 50 * len(w)
@@ -38,12 +38,45 @@ def test_quality_rules(odd, odd_rows, empty):
     assert quality_rules(empty).count() == 0
 
 
+def letters(n):
+    """A word without digits, which count as one."""
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
 def test_depleted_documents_go(spark):
     shared = " ".join(f"common{i}" for i in range(60))
     rows = [(i, f"{shared}\nown words {i} here", "h") for i in range(30)] + [(100 + i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(80)), "h") for i in range(30)]
-    rows += [(200 + i, rows[30][1], "h") for i in range(40)]  # copies of one text aren't a common line
-    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rows += [(200, rows[30][1], "h")] * 40  # one row repeated is one document
+    schema = "doc_id long, text string, source string"
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, schema)).collect()}
     assert not any(got[i] for i in range(30)) and all(got[i] for i in got if i >= 100)
+    # Verdicts stay as unrelated documents join the host.
+    more = [(10**6 + i, " ".join(letters(100 * i + j) for j in range(60)), "h") for i in range(3000)]
+    more += [(2 * 10**6 + i, rows[0][1], "elsewhere") for i in range(20)]  # as many as the limit
+    again = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows + more, schema)).collect()}
+    assert {i: again[i] for i in got} == got and all(again[i] for i in again if i >= 10**6)
+    copies = [(10**7 + i, rows[31][1], "h") for i in range(21)]  # documents of one text are different documents
+    assert not any(r.kept for r in quality_rules(spark.createDataFrame(copies, schema)).collect())
+
+
+def test_cleaned_documents(odd, odd_rows, empty):
+    out = cleaned_documents(odd, line_docs=5)
+    assert out.columns == odd.columns
+    kept = [r.doc_id for r in quality_rules(odd, line_docs=5).collect() if r.kept]
+    texts = defaultdict(set)
+    for r in out.collect():
+        texts[r.doc_id].add(r.text)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept)
+    docs_with, norm = defaultdict(set), lambda x: " ".join(re.findall(WORD, re.sub("[0-9]+", "0", x.lower())))
+    for r in odd_rows:
+        for x in (r[1] or "").split("\n"):
+            docs_with[r[3], norm(x)].add((r[0], r[1]))
+    for r in odd_rows:
+        if r[0] in texts:
+            want = "\n".join(x for x in r[1].split("\n") if not norm(x) or len(docs_with[r[3], norm(x)]) <= 5)
+            assert texts[r[0]] == {want}
+    assert any(t != r[1] for r in odd_rows for t in texts.get(r[0], ()))
+    assert cleaned_documents(empty).count() == 0
 
 
 LICENSES = [
