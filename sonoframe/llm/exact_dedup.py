@@ -8,7 +8,8 @@ Adding a batch again, say after a crash, gives the same rows again: a document t
 
 Defined cases: a null text counts as empty; equal texts keep the row with the largest id, or, once a text is in the
 index, the document recorded there; of rows that repeat that id with the same text exactly one is kept; ids may be null
-(they lose against any other); an empty table gives an empty result; other columns are ignored, whatever their names.
+(they lose against any other); very long texts are hashed whole, and only their digests are shuffled; an empty table gives an
+empty result; other columns are ignored, or carried along by drop_exact_duplicates, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import fresh_path, full_text, join_groups, keep, partitions, without_rows
+from sonoframe.llm.common import fresh_path, full_text, join_groups, keep, packed, partitions, without_rows
 
 
 class DigestIndex:
@@ -98,16 +99,16 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id"
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose text is new: one row for each text, with the columns it came with."""
     judged = keep(exact_duplicates(docs, index, id_col, text_col), "judged")
-    pair = [F.col("doc_id").alias(id_col), F.col("text_sha256").alias("_digest")]
+    pair = ["doc_id", "text_sha256"]
     counted = judged.groupBy(*pair).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    marked = docs.withColumn("_digest", F.sha2(full_text(F.col(text_col)), 256))
-    found = without_rows(marked, counted.where("NOT kept").select(id_col, "_digest"))
+    marked = packed(docs, doc_id=F.col(id_col).cast("long"), text_sha256=F.sha2(full_text(F.col(text_col)), 256))
+    found = without_rows(marked, counted.where("NOT kept").select(*pair))
     # Rows that repeat an id and its text, of which one stays: aggregated before they are shuffled; all others pass by.
-    again = keep(counted.where("kept AND n > 1").select(id_col, "_digest"), "repeated-rows")
+    again = keep(counted.where("kept AND n > 1").select(*pair), "repeated-rows")
     if again.isEmpty():
-        return found.select(*docs.columns)
-    once = without_rows(found, counted.where("n = 1").select(id_col, "_digest")).dropDuplicates([id_col, "_digest"])
-    return without_rows(found, again).unionByName(once).select(*docs.columns)
+        return found.select("row.*")
+    once = without_rows(found, counted.where("n = 1").select(*pair)).dropDuplicates(pair)
+    return without_rows(found, again).unionByName(once).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

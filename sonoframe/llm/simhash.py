@@ -16,8 +16,10 @@ fingerprints), hence the blocks in front of them; README.md has figures.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; fewer
 words than a shingle make one shingle; repeated rows each keep their row; rows that share an id
-are one document to the links; a null id names no component (such rows have the component of their fingerprint, else null); an empty table gives an empty result;
-other columns are ignored.
+are one document to the links; a null id names no component, but its fingerprint links like any other (a component of null
+ids only is null); ids lie below NAMELESS; very long texts are read whole; where near copies are dropped, rows with null ids
+stay; ties go to the smallest id; an empty table gives an empty result; other columns are carried or ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, lean, partitions, ragged, short_batches, totals, without_groups, without_rows
+from sonoframe.llm.common import FEW_KEYS, SPACE, full_text, join_groups, keep, lean, packed, partitions, ragged, short_batches, totals, without_groups, without_rows
 from sonoframe.llm.components import connected_components
 
 SEED = 42
@@ -43,6 +45,8 @@ PIVOTS = 24
 NEAR_SHARE = 0.8
 NEAR_WORDS = 4
 NEAR_BITS = 54
+#: Nodes from here on stand for fingerprints that only null ids have.
+NAMELESS = 1 << 62
 #: Rows of a block that are compared in one task; larger blocks are cut into tiles.
 TILE = 4096
 #: Shingles of a group of candidates whose texts are compared in one task; larger groups are cut into tiles.
@@ -281,7 +285,7 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
             find.pairs_across(one, np.flatnonzero((pdf["tile"] == key[2]).to_numpy()))
         return linked(find, pdf["node"].to_numpy()).to_pandas()
 
-    rows = distinct.where("node IS NOT NULL").select("node", "fp").mapInArrow(lean(keyed), "block long, node long, fp binary")
+    rows = distinct.select("node", "fp").mapInArrow(lean(keyed), "block long, node long, fp binary")
     rows = keep(rows, "blocks")
     large = keep(rows.groupBy("block").count().where(F.col("count") > TILE), "large-blocks")
     out = None
@@ -306,14 +310,17 @@ def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, similar:
     spark = docs.sparkSession
     rows = keep(fingerprints(docs, k, words, id_col, text_col, different=similar is not None), "fingerprints")
     total, bits = rows.count(), 64 * words
-    distinct = keep(rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints", total)
+    distinct = rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    nameless = F.lit(NAMELESS) + F.xxhash64("same").bitwiseAND(NAMELESS - 1)
+    distinct = keep(distinct.withColumn("node", F.coalesce("node", nameless)), "distinct-fingerprints", total)
     n = distinct.count()
     parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar), most)
-    links = block_links(spark, distinct, parts, words, most)
+    links = block_links(spark, distinct if similar is None else distinct.where(F.col("node") < NAMELESS), parts, words, most)
     if similar is not None:
         links = similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), links, k, similar)
     found = connected_components(links)
-    settled = distinct.join(found, "node", "left").select("same", "n", F.coalesce("component", "node").alias("component_id"))
+    least = F.coalesce("component", "node")
+    settled = distinct.join(found, "node", "left").select("same", "n", F.when(least < NAMELESS, least).alias("component_id"))
     return join_groups(rows, keep(settled, "components", n), "same", "n", total).select("doc_id", "fp", "component_id")
 
 
@@ -402,8 +409,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each group of near copies, the one with the smallest id, with the columns it came with. Near copies
     share NEAR_SHARE or more of their five-word shingles; such texts' wide fingerprints lie within NEAR_BITS of each other."""
     found = near_duplicates(docs, 5, NEAR_BITS, NEAR_WORDS, NEAR_SHARE, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return without_rows(docs, keep(gone, "near-copies"))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return without_rows(packed(docs, doc_id=F.col(id_col).cast("long")), keep(gone, "near-copies")).select("row.*")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

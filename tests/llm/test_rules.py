@@ -197,13 +197,42 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
-def test_colliding_keys_are_told_apart(tmp_path, monkeypatch):
+def files_in(folder, files):
+    for i, data in enumerate(files):
+        (folder / f"{i}").write_bytes(data)
+    return U.DigestArray(*[str(folder / f"{i}") for i in range(len(files))])
+
+
+@pytest.mark.parametrize("most", [100, 1, 2])
+def test_colliding_keys_are_told_apart(tmp_path, monkeypatch, most):
     monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda s, seed: len(s))
-    (tmp_path / "f").write_bytes(U.build({"ab.c/": "block", "xy.c/": "allow"}, ("qq.c",)))
-    a = U.DigestArray(str(tmp_path / "f"))
+    a = files_in(tmp_path, U.build({"ab.c/": "block", "xy.c/": "allow"}, ("qq.c",), most))
     assert a.judge([b"ab.c", b"xy.c", b"zz.c", b"qq.c"], [b"/"] * 4) == (["ab.c/", "xy.c/", None, None], ["block", "allow", "allow", "block"])
 
 
+def test_many_files_judge_as_one(spark, tmp_path):
+    """Lists longer than a file, from Python and from a table, against every rule in turn."""
+    rng = random.Random(7)
+    host = lambda: ".".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    rules = {f"{host()}/{rng.choice(['', 'x/', 'x/y', 'zz'])}": rng.choice(["allow", "block"]) for _ in range(60)}
+    blocked = tuple({host() for _ in range(20)})
+    urls = [f"s://{host()}/{rng.choice(['', 'x/', 'x/yz', 'zz', 'q'])}{'' if i % 9 else '?a'}" for i in range(400)] + ["s://a.b/" + "x/y" * 50_000, None, "s://a"]
+    want = []
+    for u in urls:
+        h, _, path = (u or "")[4:].split("?")[0].partition("/")
+        path = "/" + path if "/" in (u or "")[4:] else ""
+        fit = [r for r in rules for a, _, b in [r.partition("/")] if (h == a or h.endswith("." + a)) and path.startswith("/" + b)]
+        rule = max(fit, key=lambda r: (len(r), r.index("/")), default=None)
+        listed = any(h == b or h.endswith("." + b) for b in blocked)
+        want.append((rule, rules[rule] if rule else "block" if listed else "allow"))
+    df = spark.createDataFrame(list(enumerate(urls)) * 2, "page_id long, url string")
+    entries = spark.createDataFrame([*rules.items(), *((b, "listed") for b in blocked), (None, "block")], "entry string, verdict string")
+    for files in (U.stored(spark, U.build(rules, blocked, 7)), U.build_table(entries, 5), U.stored(spark, U.build(rules, blocked))):
+        got = U.judge_by_files(df, files).collect()
+        assert len(got) == 2 * len(urls) and all((r.rule, r.verdict) == want[r.page_id] for r in got)
+    assert U.judge_by_files(df, U.build_table(entries.where("false"), 3)).where("verdict = 'block'").count() == 0
+
+
 def test_no_urls(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.judge_urls(none, U.RULES).count() == 0

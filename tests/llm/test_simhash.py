@@ -121,6 +121,16 @@ def test_empty_and_odd(spark, empty, odd):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
     nulls = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (None, "zz")], "doc_id long, text string")
     assert sorted(str(r.component_id) for r in simhash.near_duplicates(nulls, 4, 4).collect()) == ["2", "2", "None"]
+    assert simhash.drop_near_duplicates(nulls).count() == 3  # a null id names nothing to drop
+
+
+def test_a_chain_through_a_null_id(spark, monkeypatch):
+    """Fingerprints of 0, 4 and 8 bits, the middle one only a null id's, join the other two."""
+    bits = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 2**63 - 1}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **k: docs.sparkSession.createDataFrame([(i, bytearray(bits[t].to_bytes(8, "big")), bytearray(bits[t].to_bytes(8, "big"))) for i, t in docs.collect()], "doc_id long, fp binary, same binary"))
+    df = spark.createDataFrame([(7, "a"), (None, "b"), (9, "c"), (None, "d"), (4, "c")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(df, 4, 4).collect())
+    assert got == [("4", "4"), ("7", "4"), ("9", "4"), ("None", "4"), ("None", "None")]
 
 
 def jaccard(a, b, k=5):
