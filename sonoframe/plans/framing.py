@@ -40,12 +40,14 @@ def frames(samples: DataFrame, stream: str, values: list[str], size: int = FRAME
 
 
 def with_drain(framed: DataFrame, stream: str, values: list[str], size: int = FRAME, drain: int = DRAIN_FRAMES) -> DataFrame:
-    """Each stream's frames and its silent frames after them."""
+    """Each stream's frames and its silent frames after them. Number 1 is a block of samples, so a stream that ends in its
+    alignment frame has none."""
     kinds = dict(framed.dtypes)
     last = framed.groupBy(stream).agg(F.max("frame_no").alias("_last"))
+    first = F.greatest(F.col("_last") + 1, F.lit(2).cast("long"))
     silent = last.select(
         stream,
-        F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + drain)).alias("frame_no"),
+        F.explode(F.sequence(first, first + drain - 1)).alias("frame_no"),
         F.lit(0).alias("n_samples"),
         *[F.array_repeat(F.lit(0), size).cast(kinds[v]).alias(v) for v in values],
     )
