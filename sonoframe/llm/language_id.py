@@ -55,21 +55,20 @@ def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces_between(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
 
 
-def grams(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from the longest down: the hashes of all n-grams of the words in their borders, and each one's word."""
+def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all n-grams of the words in their borders, and each one's word."""
     bordered = [f" {w} " for w in words]
     size = np.fromiter(map(len, bordered), np.int64, len(bordered))
-    code = np.frombuffer("".join(bordered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), size)
-    h, all_h = np.full(len(code), 14695981039346656037, np.uint64), []
-    for n in range(1, LONGEST + 1):
-        h = (h[: max(0, len(code) - n + 1)] ^ code[n - 1 :]) * _PRIME
-        h = h ^ (h >> np.uint64(29))
-        all_h.append(h)
-    for n in range(LONGEST, 0, -1):
-        begin = word[: max(0, len(word) - n + 1)]
-        whole = word[n - 1 :] == begin
-        yield n, all_h[n - 1][whole], begin[whole]
+    code = np.frombuffer("".join(bordered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    m = max(0, len(code) - n + 1)
+    h = np.full(m, 14695981039346656037, np.uint64)
+    for k in range(n):
+        h ^= code[k : k + m]
+        h *= _PRIME
+        h ^= h >> np.uint64(29)
+    whole = word[n - 1 :] == word[:m]
+    return h[whole], word[:m][whole]
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -125,7 +124,10 @@ class LanguageModel:
     def _count(self, languages: list[str], words: list[str], lang: np.ndarray, n: np.ndarray) -> None:
         self.languages = languages
         self.words = Frequencies.counted(hashes(words), lang, n, len(languages))
-        self.grams = {k: Frequencies.counted(h, lang[of], n[of], len(languages)) for k, h, of in grams(words)}
+        self.grams = {}
+        for k in range(1, LONGEST + 1):
+            h, of = grams(words, k)
+            self.grams[k] = Frequencies.counted(h, lang[of], n[of], len(languages))
 
     @classmethod
     def of_pairs(cls, languages: list[str], words: list[str], lang: np.ndarray, n: np.ndarray) -> LanguageModel:
@@ -158,7 +160,7 @@ class LanguageModel:
         for n in range(LONGEST, 0, -1):
             if not len(open_):
                 break
-            _, h, of = next(x for x in grams([words[i] for i in open_.tolist()]) if x[0] == n)
+            h, of = grams([words[i] for i in open_.tolist()], n)
             at = self.grams[n].find(h)
             of, at = of[at >= 0], at[at >= 0]
             found = np.bincount(of, minlength=len(open_))
@@ -240,8 +242,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         coded = table["lang"].combine_chunks().dictionary_encode()
         names = coded.dictionary.to_pylist()
         languages = sorted(names)
-        lang = np.array([languages.index(x) for x in names])[coded.indices.to_numpy()]
-        return LanguageModel.of_pairs(languages, table["word"].to_pylist(), lang, table["n"].to_numpy().astype(np.float64)).arrays()
+        lang = np.array([languages.index(x) for x in names], np.int32)[coded.indices.to_numpy()]
+        return LanguageModel.of_pairs(languages, table["word"].to_pylist(), lang, table["n"].to_numpy().astype(np.float32)).arrays()
 
     return built_file(counts, make, "language-model")
 
