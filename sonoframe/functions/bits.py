@@ -42,3 +42,15 @@ def joint_header(bits: Column) -> dict[str, Column]:
     """A joint second channel's two bytes: output selector, four hints, marker, unit mode."""
     field = lambda a, n: unpack_bits(bits, F.lit(a), F.lit(n))
     return {"selector": field(0, 4), "hints": F.array(field(4, 2), field(6, 2), field(8, 2), field(10, 2)), "marker_ok": field(12, 2) == 3, "unit_count": field(14, 2) + 1}
+
+
+def pack_bits(fields: list[tuple[Column, int]]) -> Column:
+    """Bytes of (value, bits) fields one after another, zeros behind the last one."""
+    text = F.concat(*[F.substring(F.lpad(F.conv(value.cast("long").cast("string"), 10, 2), 64, "0"), 65 - bits, bits) for value, bits in fields])
+    size = -(-sum(bits for _, bits in fields) // 8) * 8
+    padded = F.rpad(text, size, "0")
+    return F.unhex(F.concat(*[F.lpad(F.conv(F.substring(padded, 1 + 8 * i, 8), 2, 16), 2, "0") for i in range(size // 8)]))
+
+
+def counted_bits(fields: list[tuple[Column, int]]) -> int:
+    return sum(bits for _, bits in fields)

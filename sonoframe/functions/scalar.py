@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sonoframe.plans.dimensions import DEAD_ZONE_DIVISORS, DEAD_ZONE_NUMERATORS, LEVELS, SCALES
+from sonoframe.plans.dimensions import BAND_EDGES, DEAD_ZONE_DIVISORS, DEAD_ZONE_NUMERATORS, LEVELS, MODE_STEPS, PAIR_BITS, SCALES
 
 FULL_SCALE = 32768
+#: The root of two in single precision.
+ROOT_TWO = float(np.float32(2**0.5))
 
 
 def f32(x: Column) -> Column:
@@ -43,6 +45,97 @@ def unordered_less(a: Column, b: Column) -> Column:
     return F.isnan(a) | F.isnan(b) | (a < b)
 
 
+def unordered_less_equal(a: Column, b: Column) -> Column:
+    return F.isnan(a) | F.isnan(b) | (a <= b)
+
+
+def truncate_to_int32(x: Column) -> Column:
+    """Towards zero; what is not a number or out of range becomes the lowest value."""
+    inside = (x > -2147483649.0) & (x < 2147483648.0) & ~F.isnan(x)
+    return F.when(inside, F.when(inside, x).otherwise(F.lit(0.0)).cast("int")).otherwise(F.lit(-2147483648))
+
+
+def clamp_int16(x: Column) -> Column:
+    return clamp(x, -32768, 32767)
+
+
+def clamp_symbol(x: Column, word_length: Column) -> Column:
+    levels = F.get(F.array(*[F.lit(v) for v in LEVELS]), word_length)
+    return clamp(x, -levels, levels)
+
+
+def band_width(band: Column) -> Column:
+    return F.get(F.array(*[F.lit(z - a) for a, z in zip(BAND_EDGES, BAND_EDGES[1:], strict=False)]), band)
+
+
+def step_of_mode(mode: Column) -> Column:
+    """Scale-factor steps of a residual mode, none for an uncoded band."""
+    return F.when(mode <= 0, F.lit(0)).otherwise(F.get(F.array(*[F.lit(v) for v in MODE_STEPS]), clamp(mode, 1, len(MODE_STEPS)) - 1))
+
+
+def least_band_bits(mode: Column, width: Column) -> Column:
+    """Bits that a coded residual band takes at least: its scale factor and the shortest code of each pair of lines."""
+    return 6 + F.shiftright(width, 1) * F.get(F.array(*[F.lit(v) for v in PAIR_BITS]), mode - 1)
+
+
+def log2_exponent(x: Column) -> Column:
+    """Floor of the logarithm to base 2 of a positive number."""
+    guess = F.floor(F.log2(x)).cast("int")
+    # A logarithm may be off by a rounding at powers of two.
+    return guess + F.when(F.pow(F.lit(2.0), guess + 1) <= x, 1).otherwise(0) - F.when(F.pow(F.lit(2.0), guess) > x, 1).otherwise(0)
+
+
+def gain_steps_for_ratio(ratio: Column) -> Column:
+    """Whole gain steps of a single-precision ratio: the exponent of the ratio times the root of two."""
+    return log2_exponent(f32(f32(ratio) * f32(F.lit(ROOT_TWO))).cast("double"))
+
+
+def bounded_gain_step(step: Column, used: Column, limit: Column | int) -> Column:
+    top = limit if isinstance(limit, Column) else F.lit(limit)
+    return F.least(F.greatest(F.lit(0), step), top - used)
+
+
+def float32_to_bits(x: Column) -> Column:
+    """The image of a single-precision number as a whole number, from its sign, exponent and fraction."""
+    v = f32(x).cast("double")
+    size = F.abs(v)
+    exponent = F.greatest(log2_exponent(F.when(size > 0, size).otherwise(F.lit(1.0))), F.lit(-126))
+    fraction = size / F.pow(F.lit(2.0), exponent)
+    normal = (exponent + 127).cast("long") * 8388608 + ((fraction - 1) * 8388608).cast("long")
+    # Below the least normal number the exponent's field is zero.
+    small = (size * F.pow(F.lit(2.0), F.lit(149))).cast("long")
+    finite = F.when(size < 2.0**-126, small).otherwise(normal)
+    image = F.when(F.isnan(v), F.lit(0x7FC00000)).when(size == float("inf"), F.lit(0x7F800000)).otherwise(F.when(F.isnan(v) | (size == float("inf")), F.lit(0)).otherwise(finite))
+    return image + F.when(v < 0, F.lit(2147483648)).otherwise(F.lit(0))
+
+
+def float32_from_bits(image: Column) -> Column:
+    """The single-precision number of an image."""
+    exponent, fraction = F.shiftright(image, 23).bitwiseAND(255), image.bitwiseAND(0x7FFFFF)
+    size = F.when(exponent == 0, fraction * 2.0**-149).otherwise((1 + fraction / 8388608.0) * F.pow(F.lit(2.0), exponent - 127))
+    size = F.when(exponent < 255, size).when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return f32(F.when(image.bitwiseAND(1 << 31) != 0, -size).otherwise(size))
+
+
+def reconstruction_error(lines: Column, symbols: Column, scale: Column, word_length: Column) -> Column:
+    """Squared error of a band's lines against what its symbols stand for."""
+    levels = F.get(F.array(*[F.lit(v) for v in LEVELS]), word_length)
+    back = lambda q: q * scale.cast("double") / (levels + F.lit(0.5))
+    errors = F.zip_with(lines, symbols, lambda x, q: (x.cast("double") - back(q)) * (x.cast("double") - back(q)))
+    return F.aggregate(errors, F.lit(0.0), lambda a, e: a + e)
+
+
+def frame_error(left: Column, right: Column, size: int) -> Column:
+    """What is wrong with a frame's two channels, if anything."""
+    n, m = F.coalesce(F.size(left), F.lit(-1)), F.coalesce(F.size(right), F.lit(-1))
+    return F.when((n < 0) | (m < 0), "missing channel").when(n != m, "unequal channels").when(n != size, "incomplete")
+
+
+def coded_frame_error(data: Column, size: Column | int) -> Column:
+    size = size if isinstance(size, Column) else F.lit(size)
+    return F.when(data.isNull() | (F.length(data) != size), F.concat(F.lit("a frame takes "), size.cast("string"), F.lit(" bytes")))
+
+
 def normalized_error(error: Column, energy: Column) -> Column:
     return F.when(energy > 0, error / energy).otherwise(F.lit(0.0))
 

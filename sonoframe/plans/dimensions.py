@@ -23,6 +23,8 @@ DEAD_ZONE_NUMERATORS = [1, 1.0592537, 1.1220185, 1.1885022, 1.2589254, 1.3335215
 DEAD_ZONE_DIVISORS = [1, 3, 5, 7, 9, 15, 31, 63]
 #: Activity thresholds of the residual bands.
 ACTIVITY = [7, 5, 5, 4, 4, 4, 4, 3, 3, 3, 3, 4, 5, 5, 5, 6, 6, 7, 7, 8, 10, 13, 17, 22, 28, 35, 49, 74, 109, 155, 250, 441]
+#: Scale-factor steps of the residual modes, and the least bits of a pair of lines.
+MODE_STEPS, PAIR_BITS = [3, 5, 7, 9, 12, 15, 18], [1, 2, 2, 2, 4, 6, 6]
 #: Spectral scales: thirds of an octave, one at index 15.
 SCALES = (2.0 ** ((np.arange(64) - 15) / 3)).astype(np.float32)
 #: How a band's level spreads to the bands above and below (as 64-bit images).
