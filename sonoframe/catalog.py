@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import bits as B
 from sonoframe.functions import scalar as S
-from sonoframe.operators import layers, residual, spectral, syntax
+from sonoframe import codec
+from sonoframe.operators import encoding, gains, layers, residual, spectral, synthesis, syntax
 from sonoframe.operators.kernels import filter_taps
 from sonoframe.plans import analysis as A
 from sonoframe.plans import framing as FR
 from sonoframe.plans.codebooks import code_bits, codebook
+from sonoframe.sources import wave
 from sonoframe.plans.dimensions import BAND_EDGES, DEAD_ZONE_DIVISORS, DEAD_ZONE_NUMERATORS, PROFILES, SCALES, SPREAD_DOWN, SPREAD_UP, TINY, profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,11 +195,14 @@ def interleave_planar(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("stream_id", "frame_no", F.array_join(F.transform(both, lambda v: v.cast("decimal(18,6)").cast("string")), " ").alias("samples"))
 
 
-@query(f"WITH {STEREO} SELECT stream_id, sample_no, l AS x, CAST(sample_no % 2 AS INTEGER) AS channel FROM stereo WHERE sample_no % 2 = 0 UNION ALL SELECT stream_id, sample_no, l AS x, CAST(sample_no % 2 AS INTEGER) FROM stereo WHERE sample_no % 2 = 1")
+@query(f"""WITH {STEREO}, s AS (SELECT stream_id, sample_no // 2 AS place, CAST(sample_no % 2 AS INTEGER) AS channel, l AS x FROM stereo)
+SELECT stream_id, channel, CAST(count(*) AS INTEGER) AS n, arg_min(x, place) AS first_x, arg_max(x, place) AS last_x, max(x) AS top FROM s GROUP BY ALL""")
 def deinterleave_mono(spark: SparkSession, sf: str) -> DataFrame:
     """One channel's samples read as interleaved, back to planar."""
-    s = stereo(spark, sf)
-    return s.select("stream_id", "sample_no", F.col("l").alias("x"), (F.col("sample_no") % 2).cast("int").alias("channel"))
+    rows = stereo(spark, sf).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("sample_no", "l"))).alias("x")).select("stream_id", F.transform("x", lambda p: p["l"]).alias("x"))
+    both = rows.select("stream_id", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), FR.deinterleave(F.col("x"), c).alias("x")) for c in (0, 1)])).alias("c")).where("size(c.x) > 0")
+    n = F.size("c.x")
+    return both.select("stream_id", "c.channel", n.alias("n"), F.get("c.x", F.lit(0)).alias("first_x"), F.get("c.x", n - 1).alias("last_x"), F.array_max("c.x").alias("top"))
 
 
 @query(f"""WITH {STEREO}, s AS (SELECT *, CAST(l * 32768::FLOAT AS DOUBLE) AS a, CAST(r * 32768::FLOAT AS DOUBLE) AS b FROM stereo)
@@ -640,8 +645,7 @@ def frame_validation(spark: SparkSession, sf: str) -> DataFrame:
     """What is wrong with a chunk before any state moves: channels of unequal length, or too few samples."""
     f = stereo(spark, sf).groupBy("stream_id", F.floor(F.col("sample_no") / SIZE).cast("long").alias("frame_no"))
     f = f.agg(F.collect_list("l").alias("left"), F.collect_list(F.when(F.col("r") > 0, F.col("r"))).alias("right"))
-    error = F.when(F.size("left") != F.size("right"), "unequal channels").when(F.size("left") != SIZE, "incomplete")
-    return f.select("stream_id", "frame_no", error.alias("error"))
+    return f.select("stream_id", "frame_no", S.frame_error(F.col("left"), F.col("right"), SIZE).alias("error"))
 
 
 @query("""WITH n AS (SELECT l_suppkey AS stream_id, 4 + CAST(greatest(0, ceil((count(*) - 69) / 1024.0) - 1) AS BIGINT) AS frames FROM lineitem GROUP BY 1),
@@ -701,3 +705,139 @@ def attack_history(spark: SparkSession, sf: str) -> DataFrame:
     a = points(spark, sf).select("l_orderkey", S.is_attack(F.col("levels")).alias("attack"))
     before = F.lag("attack").over(W.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey"))
     return a.select("l_orderkey", "attack", (F.col("attack") | F.coalesce(before, F.lit(False))).alias("near_attack"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS FLOAT)::DOUBLE AS x FROM lineitem), e AS (SELECT *, CAST(floor(log2(x)) AS INTEGER) AS e FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, CAST((e + 127) * 8388608 + (x / pow(2.0::DOUBLE, e) - 1) * 8388608 AS BIGINT) AS image, CAST(x AS FLOAT) AS back FROM e""")
+def float_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of single-precision numbers, and the numbers of these."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.float32_to_bits(F.col("l_extendedprice")).alias("image"))
+    return rows.withColumn("back", S.float32_from_bits(F.col("image")))
+
+
+@query("""SELECT p_partkey, printf('%04X', CAST((p_size % 64) * 1024 + (p_partkey % 32) * 32 + (p_partkey % 2) * 16 AS INTEGER)) AS packed FROM part""")
+def bit_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of 6, 5 and 1 bits in bytes."""
+    fields = [(F.col("p_size") % 64, 6), (F.col("p_partkey") % 32, 5), (F.col("p_partkey") % 2, 1)]
+    return table(spark, sf, "part").select("p_partkey", F.hex(B.pack_bits(fields)).alias("packed"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey % 8 AS INTEGER) AS mode, CAST(p_size % 32 AS INTEGER) AS band, CAST(p_partkey * 97 % 100000 - 50000 AS INTEGER) AS v, (p_retailprice - 1200) * 3000000 AS x FROM part)
+SELECT p_partkey, greatest(-32768, least(32767, v)) AS int16, greatest(-[0, 1, 2, 3, 4, 7, 15, 31][mode + 1], least([0, 1, 2, 3, 4, 7, 15, 31][mode + 1], v)) AS symbol,
+CAST(CASE WHEN x > -2147483649 AND x < 2147483648 THEN trunc(x) ELSE -2147483648 END AS INTEGER) AS whole, x <= 0 AS less_equal,
+[0, 3, 5, 7, 9, 12, 15, 18][mode + 1] AS step, CASE WHEN mode > 0 THEN 6 + (((""" + "[" + ", ".join(str(z - a) for a, z in zip(BAND_EDGES, BAND_EDGES[1:], strict=False)) + """])[band + 1] >> 1) * [0, 1, 2, 2, 2, 4, 6, 6][mode + 1]) END AS least_bits FROM p""")
+def bounded_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of samples, symbols and whole numbers, and steps and least bits of residual modes."""
+    rows = table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_partkey") % 8).cast("int").alias("mode"), (F.col("p_size") % 32).cast("int").alias("band"), (F.col("p_partkey") * 97 % 100000 - 50000).cast("int").alias("v"), ((F.col("p_retailprice") - 1200) * 3000000).alias("x")
+    )
+    mode = F.col("mode")
+    return rows.select(
+        "p_partkey", S.clamp_int16(F.col("v")).alias("int16"), S.clamp_symbol(F.col("v"), mode).alias("symbol"), S.truncate_to_int32(F.col("x")).alias("whole"), S.unordered_less_equal(F.col("x"), F.lit(0.0)).alias("less_equal"),
+        S.step_of_mode(mode).alias("step"), F.when(mode > 0, S.least_band_bits(mode, S.band_width(F.col("band")))).alias("least_bits"),
+    )
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size, CAST(p_retailprice / 1000 AS FLOAT) AS ratio FROM part)
+SELECT p_partkey, CAST(floor(log2(CAST(ratio * CAST(1.4142135381698608 AS FLOAT) AS DOUBLE))) AS INTEGER) AS steps, CAST(least(greatest(0, p_size - 10), 10 - p_size % 8) AS INTEGER) AS bounded FROM r""")
+def gain_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole gain steps of a ratio, and steps within what is left of a limit."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 1000).alias("ratio"))
+    return rows.select("p_partkey", S.gain_steps_for_ratio(F.col("ratio")).cast("int").alias("steps"), S.bounded_gain_step(F.col("p_size") - 10, F.col("p_size") % 8, 10).cast("int").alias("bounded"))
+
+
+# --- Whole streams -------------------------------------------------------------------------------------------------
+
+
+COUNTED = "n AS (SELECT user_id AS stream_id, count(*) AS n FROM events GROUP BY 1), f AS (SELECT stream_id, n, 4 + CAST(greatest(0, ceil((n - 69) / 1024.0) - 1) AS BIGINT) AS frames FROM n)"
+
+
+def coded_streams(spark: SparkSession, sf: str, bitrate: int) -> DataFrame:
+    rows = stereo(spark, sf)
+    coded = codec.encoded_streams(rows.select("stream_id", "sample_no", F.col("l").alias("left"), F.col("r").alias("right")), "stream_id", bitrate)
+    return coded.join(rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("sample_count")), "stream_id")
+
+
+@query(f"WITH {COUNTED} SELECT stream_id, frames, frames * 384 AS n_bytes, 0 AS first_no, frames - 1 AS last_no FROM f")
+def encoded_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-channel streams coded at 132 kbps: frames and bytes of each."""
+    return coded_streams(spark, sf, 132).groupBy("stream_id").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.length("bytes")).alias("n_bytes"), F.min("frame_no").cast("int").alias("first_no"), F.max("frame_no").alias("last_no"))
+
+
+@query(f"WITH {COUNTED} SELECT stream_id, n AS expected, n AS samples, CAST(0 AS BIGINT) AS first_no, CAST(0 AS BIGINT) AS errors FROM n")
+def decoded_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """The same streams at 105 kbps and back: the timeline shows every sample once."""
+    coded = coded_streams(spark, sf, 105).withColumn("align", F.lit(1024))
+    shown = codec.decoded_streams(coded, "stream_id", 105).groupBy("stream_id").agg(F.sum(F.size("left")).alias("samples"), F.min("sample_no").alias("first_no"), F.count("error").alias("errors"))
+    expected = stereo(spark, sf).groupBy("stream_id").agg(F.count(F.lit(1)).alias("expected"))
+    return expected.join(shown, "stream_id").select("stream_id", "expected", "samples", "first_no", "errors")
+
+
+@query(f"WITH {COUNTED} SELECT stream_id, 66 AS bitrate_kbps, frames AS frame_count, n AS sample_count, CAST(1024 AS BIGINT) AS alignment, CAST(80 + 192 * frames AS INTEGER) AS n_bytes FROM f")
+def coded_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stream as a joint coded image at 66 kbps, and what its header says."""
+    images = wave.coded_images(coded_streams(spark, sf, 66), "stream_id", 66, "sample_count")
+    m = wave.wave_metadata(images, "content", ("stream_id", "content"))
+    return m.select("stream_id", "bitrate_kbps", "frame_count", "sample_count", F.col("alignment_sample_count").alias("alignment"), F.length("content").alias("n_bytes"))
+
+
+@query(f"""WITH {STEREO}, s AS (SELECT stream_id, sample_no, greatest(-32767, least(32767, CAST(round_even(CAST(l * 32768::FLOAT AS DOUBLE), 0) AS BIGINT))) AS a FROM stereo)
+SELECT stream_id, CAST(44 + 4 * count(*) AS INTEGER) AS n_bytes, 'RIFF' || printf('%08X', CAST(36 + 4 * count(*) AS INTEGER)) AS head, printf('%04X', CAST(arg_min(a, sample_no) & 65535 AS INTEGER)) AS first_left FROM s GROUP BY 1""")
+def pcm_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stream as a 16-bit image: its size, the size that its header names, and its first sample."""
+    rows = stereo(spark, sf).select("stream_id", "sample_no", F.array("l").alias("left"), F.array("r").alias("right"))
+    images = wave.pcm_images(rows, "stream_id")
+    turned = lambda at, n: F.concat(*[F.hex(F.expr(f"substring(content, {at + n - i}, 1)")) for i in range(n)])
+    return images.select("stream_id", F.length("content").alias("n_bytes"), F.concat(F.expr("CAST(substring(content, 1, 4) AS STRING)"), turned(4, 4)).alias("head"), turned(44, 2).alias("first_left"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size % 32 AS INTEGER) AS location, CAST(p_partkey % 16 AS INTEGER) AS level FROM part), q AS (SELECT *, 8 * level + (4 - level) * 4 AS place, 8 * level + (4 - level) * CASE WHEN location = 31 THEN 7 ELSE 8 END AS rear FROM p)
+SELECT p_partkey, location, level, round(pow(2.0::DOUBLE, 4 - level), 6) AS first_factor, round(pow(2.0::DOUBLE, -(place % 8) / 8.0::DOUBLE) * pow(2.0::DOUBLE, 4 - place // 8), 6) AS half_way,
+round(pow(2.0::DOUBLE, -(rear % 8) / 8.0::DOUBLE) * pow(2.0::DOUBLE, 4 - rear // 8), 6) AS last_factor FROM q""")
+def inverse_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """What a gain point makes of a band of ones: its level at the front, the ramp half-way, and the band's end."""
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 32).cast("int").alias("location"), (F.col("p_partkey") % 16).cast("int").alias("level"))
+    rows = rows.withColumn("points", F.array(F.struct("location", "level"))).withColumn("band", F.array_repeat(F.lit(1.0).cast("float"), 256))
+    out = synthesis.enveloped_bands(rows, ["p_partkey", "location", "level"], "points", "band")
+    at = lambda i: F.round(F.get("band", i).cast("double"), 6)
+    return out.select("p_partkey", "location", "level", at(F.lit(0)).alias("first_factor"), at(8 * F.col("location") + 4).alias("half_way"), at(F.lit(255)).alias("last_factor"))
+
+
+@query(f"""WITH {STEREO}, c AS (SELECT *, sample_no % {SIZE} AS place, sample_no // {SIZE} AS chunk FROM stereo),
+w AS (SELECT *, CASE WHEN place < 8 THEN CAST(CAST(CAST((place - 8) AS FLOAT) * 0.5::FLOAT AS FLOAT) * 0.125::FLOAT AS FLOAT) + 1::FLOAT ELSE 1::FLOAT END AS g FROM c),
+b AS (SELECT *, CAST(CAST(g * l AS FLOAT) + CAST(g * r AS FLOAT) AS FLOAT) AS blend FROM w)
+SELECT stream_id, sample_no, CAST(2::FLOAT * blend AS FLOAT) AS "left", CAST(CAST(l - blend AS FLOAT) * 2::FLOAT AS FLOAT) AS "right" FROM b""")
+def joint_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Both channels out of the coded two, as the weights move from a half to one over a frame's first eight samples."""
+    rows = stereo(spark, sf).groupBy("stream_id", F.floor(F.col("sample_no") / SIZE).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("sample_no", "l", "r"))).alias("x"))
+    full = lambda c: F.concat(F.transform("x", lambda s: s[c]), F.array_repeat(F.lit(0.0).cast("float"), SIZE - F.size("x")))
+    rows = rows.select("stream_id", "chunk", F.size("x").alias("n"), full("l").alias("first"), full("r").alias("second"))
+    out = synthesis.mixed_bands(rows, ["stream_id", "chunk", "n"], synthesis.Mix((1, 3, 3, 3)), synthesis.Mix(), 0)
+    out = out.select("stream_id", "chunk", "n", F.posexplode(F.arrays_zip("left", "right")).alias("i", "s")).where("i < n")
+    return out.select("stream_id", (F.col("chunk") * SIZE + F.col("i")).alias("sample_no"), F.col("s.left").alias("left"), F.col("s.right").alias("right"))
+
+
+@query(f"WITH {COUNTED} SELECT stream_id, CAST(ceil(n / 1024.0) AS BIGINT) AS frames, TRUE AS restored FROM n")
+def restored_signal(spark: SparkSession, sf: str) -> DataFrame:
+    """Filter bank and block transform forwards and back: each stream's samples return, late by a frame and the filters' length."""
+    rows = stereo(spark, sf).select("stream_id", "sample_no", "l")
+    framed = FR.frames(rows, "stream_id", ["l"], 1024, 0).select("stream_id", (F.col("frame_no") - 1).alias("frame_no"), F.transform("l", lambda x: x * F.lit(1024.0).cast("float")).alias("samples"))
+    return spectral.restored(framed, ["stream_id"])
+
+
+@query()
+def gain_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Gain records of each supplier's prices read as bands of 768 samples."""
+    x = signal(spark, sf).where("sample_no < 768").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("sample_no", "x"))).alias("x"))
+    one = F.concat(F.transform("x", lambda p: (p["x"] / 10).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), 768 - F.size("x")))
+    rows = x.select(F.lit(0).alias("all"), F.col("stream_id").alias("frame_no"), F.array(one, F.reverse(one)).alias("windows"))
+    found = gains.planned_records(rows, ["all"])
+    return found.select(F.col("frame_no").alias("stream_id"), F.size(F.flatten(F.transform("records", lambda r: r["points"]))).alias("points"), F.transform("records", lambda r: r["peak"]).alias("peaks"))
+
+
+@query(f"""WITH {NORMAL}, q AS (SELECT vec_id, band, n, scale_factor, {SYMBOL.format(zero=ZERO)} AS q FROM lines)
+SELECT vec_id, band, round(sum((n - q / 7.5::DOUBLE) * (n - q / 7.5::DOUBLE)), 6) AS error FROM q GROUP BY ALL""")
+def band_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Squared error of each band's normalised lines at word length 5."""
+    q = F.transform("ns", lambda n: S.quantize(n.cast("double"), F.lit(5), S.dead_zone(F.lit(3), F.lit(5))))
+    return normal_bands(spark, sf).select("vec_id", "band", F.round(S.reconstruction_error(F.col("ns"), q, F.lit(1.0), F.lit(5)), 6).alias("error"))

@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.operators import kernels
+from sonoframe.operators import encoding, kernels, synthesis
 
 #: Frames of a stream that are looked at together.
 CHUNK = 4096
@@ -104,3 +105,23 @@ def spectra(bands: DataFrame, keys: list[str], frame: str = "frame_no") -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:n], _lists(kernels.spectrum(np.concatenate([before, now], 2)))], schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def restored(frames: DataFrame, keys: list[str], value: str = "samples", frame: str = "frame_no", near: float = 2e-3) -> DataFrame:
+    """Whether each stream's frames, taken apart by filter bank and transform and put together again, come back within
+    ``near`` of their peak: (keys, frames, restored)."""
+    rows = frames.select(*keys, F.col(frame).alias("frame_no"), F.col(value).alias("samples"))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("frames", T.LongType()), T.StructField("restored", T.BooleanType())])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("frame_no")["samples"].tolist()).astype(np.float32)
+        x = np.concatenate([x, np.zeros((2, x.shape[1]), np.float32)])  # what comes late
+        lines = (encoding.spectra_of(x[:, None])[:, 0] * np.float32(synthesis.FULL / 2)).reshape(len(x), 4, 256)
+        earlier = lambda a: np.concatenate([np.zeros_like(a[:1]), a[:-1]])
+        old, one = earlier(lines), np.ones(len(x), np.float32)
+        bands = np.stack([synthesis.overlapped(lines[:, u], old[:, u], one, u % 2 == 1) for u in range(4)], 1)
+        back = synthesis.synthesized(bands, earlier(bands)).ravel()[synthesis.LATE :]
+        n = len(back)
+        return pd.DataFrame([(*key, len(x) - 2, bool(np.abs(back - x.ravel()[:n]).max() <= near * max(1.0, np.abs(x).max())))], columns=schema.names)
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)

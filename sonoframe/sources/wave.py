@@ -1,18 +1,21 @@
 """WAVE containers: PCM and coded, as Python data sources, parsers and writers.
 
-A reader walks only the chunk headers of each file; its partitions are ranges of whole sample blocks or frames, so large
-files are read by many tasks. Columns that a query doesn't need are not decoded when only metadata is asked for
-(``wave_metadata``). Writers put one file per stream: parts first, the header last, when the totals are known."""
+Partitions are ranges of bytes of files in any file system that Arrow knows, so large files are read by many tasks, each of
+which walks the chunk headers of its file. Columns that a query doesn't need are not decoded when only metadata is asked for
+(``wave_metadata``). Writers put one file per stream: data first, then the header, when the totals are known."""
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import itertools
 import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -146,121 +149,206 @@ def planar(data: bytes, channels: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Range(InputPartition):
+    """The blocks of a file whose first byte lies in a range of bytes."""
+
     path: str
     first: int
     last: int
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file:") else path
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path there, of a URI or a local path."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def files_in(path: str) -> list[str]:
-    path = _local(path)
-    return sorted(glob.glob(os.path.join(path, "*.wav"))) if os.path.isdir(path) else sorted(glob.glob(path))
+def files_in(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of the .wav files of a folder, or of those that a pattern names in its folder."""
+    scheme = path[: path.index("://") + 3] if "://" in path else ""
+    folder, _, name = path.rpartition("/")
+    store, at = opened(folder if any(c in name for c in "*?[") else path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.File:
+        found = [info]
+    elif info.type == fs.FileType.Directory:
+        pattern = name if any(c in name for c in "*?[") else "*.wav"
+        found = [f for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern) and not f.base_name.startswith(".")]
+    else:
+        found = []
+    local = not scheme or scheme == "file://"
+    host = "" if local else path[len(scheme) :].split("/")[0] if not isinstance(store, fs.LocalFileSystem) and path[len(scheme) :].split("/")[0] not in at else ""
+    return sorted((f.path if local else f"{scheme}{host}{f.path}", f.size) for f in found)
 
 
 def file_info(path: str, coded: bool, need_fact: bool = False) -> WaveInfo:
-    with open(path, "rb") as f:
-
-        def read(at: int, n: int) -> bytes:
-            f.seek(at)
-            return f.read(n)
-
-        return walk(read, os.path.getsize(path), coded, need_fact)
+    store, at = opened(path)
+    with store.open_input_file(at) as f:
+        return walk(lambda a, n: f.read_at(min(n, max(0, f.size() - a)), a), f.size(), coded, need_fact)
 
 
 class _Reader(DataSourceReader):
+    """The driver lists files and their sizes only; each task reads the header of its own file."""
+
     coded = False
+    #: Blocks that stay together.
+    unit = FRAME
 
     def __init__(self, options: dict):
-        self.path, self.step = options["path"], int(options.get("range", RANGE))
+        self.path, self.step = options["path"], int(options.get("range", RANGE)) * 4
         self.need_fact = options.get("needFact", "true") == "true"
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path in files_in(self.path):
-            n = file_info(path, self.coded, self.need_fact).frames
-            out += [Range(path, a, min(n, a + self.step)) for a in range(0, max(n, 1), self.step)]
-        return out
+        return [Range(path, a, a + self.step if a + self.step < size else 1 << 62) for path, size in files_in(self.path) for a in range(0, max(size, 1), self.step)]
 
-    def _bytes(self, p: Range) -> tuple[WaveInfo, bytes]:
+    def _blocks(self, p: Range) -> tuple[WaveInfo, int, bytes]:
+        """Number of the range's first block, and the blocks' bytes."""
         info = file_info(p.path, self.coded, self.need_fact)
-        with open(p.path, "rb") as f:
-            f.seek(info.data_at + p.first * info.block)
-            data = f.read((p.last - p.first) * info.block)
-        if len(data) != (p.last - p.first) * info.block:
+        number = lambda byte: min(info.frames, max(0, -(-(byte - info.data_at) // (info.block * self.unit))) * self.unit)
+        first, last = number(p.first), number(p.last)
+        store, at = opened(p.path)
+        with store.open_input_file(at) as f:
+            data = f.read_at((last - first) * info.block, info.data_at + first * info.block) if last > first else b""
+        if len(data) != (last - first) * info.block:
             raise WaveError(f"{p.path} is cut short")
-        return info, data
+        return info, first, data
 
 
 class PcmReader(_Reader):
     def read(self, p: Range):
-        info, data = self._bytes(p)
+        info, first, data = self._blocks(p)
         left, right = planar(data, info.channels)
         for i in range(0, len(left), FRAME):
-            yield (p.path, p.first + i, left[i : i + FRAME].tolist(), right[i : i + FRAME].tolist())
+            yield (p.path, first + i, left[i : i + FRAME].tolist(), right[i : i + FRAME].tolist())
 
 
 class CodedReader(_Reader):
-    coded = True
+    coded, unit = True, 1
 
     def read(self, p: Range):
-        info, data = self._bytes(p)
-        for i in range(p.last - p.first):
-            yield (p.path, p.first + i, info.bitrate, info.sample_count, info.align, data[i * info.block : (i + 1) * info.block])
+        info, first, data = self._blocks(p)
+        for i in range(len(data) // info.block):
+            yield (p.path, first + i, info.bitrate, info.sample_count, info.align, data[i * info.block : (i + 1) * info.block])
 
 
 class _Message(WriterCommitMessage):
-    def __init__(self, parts: list):
-        self.parts = parts
+    def __init__(self, files: list):
+        self.files = files
+
 
+class _Writer(DataSourceWriter):
+    """One file per stream. A task writes its rows to a part and then, when sizes are known, a file for each of its streams
+    under a name of its attempt. The commit puts the files in place; it copies data only where a stream came from several
+    tasks, one after another. ``by_stream`` brings each stream into one task."""
 
-class CodedWriter(DataSourceWriter):
-    """Frames (stream_id, frame_no, bytes) to one file per stream. Tasks write their frames to parts beside it; the commit
-    joins a stream's parts in order behind the header, and puts the file in place at once."""
+    order = ""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.bitrate = _local(options["path"]), int(options["bitrate"])
-        self.samples = options.get("sampleCount")
-        os.makedirs(self.path, exist_ok=True)
+        self.path = options["path"].rstrip("/")
+        self.options = dict(options)
+        store, at = opened(self.path)
+        store.create_dir(at, recursive=True)
         if not overwrite and files_in(self.path):
             raise WaveError(f"{self.path} has files")
 
-    def write(self, rows: Iterator) -> _Message:
-        from pyspark import TaskContext
+    def data(self, row) -> bytes:
+        raise NotImplementedError
+
+    def header(self, n_bytes: int, n_rows: int) -> bytes:
+        raise NotImplementedError
 
-        name = os.path.join(self.path, f".part-{TaskContext.get().taskAttemptId()}")
-        index = []
-        with open(name, "wb") as f:
+    def write(self, rows: Iterator) -> _Message:
+        attempt = TaskContext.get().taskAttemptId()
+        store, at = opened(self.path)
+        part, index, end = f"{at}/.{attempt}.part", {}, 0
+        with store.open_output_stream(part, compression=None) as out:
             for r in rows:
-                index.append((str(r["stream_id"]), int(r["frame_no"]), name, f.tell(), len(r["bytes"])))
-                f.write(r["bytes"])
-        return _Message(index)
+                data = self.data(r)
+                out.write(data)
+                index.setdefault(str(r["stream_id"]), []).append((int(r[self.order]), end, len(data)))
+                end += len(data)
+        files = []
+        with store.open_input_file(part) as old:
+            for stream, mine in index.items():
+                mine.sort()
+                whole = f"{at}/.{stream}-{attempt}.new"
+                n = sum(size for _, _, size in mine)
+                with store.open_output_stream(whole, compression=None) as out:
+                    out.write(self.header(n, len(mine)))
+                    for _, where, size in mine:
+                        out.write(old.read_at(size, where))
+                files.append((mine[0][0], mine[-1][0], stream, whole, n, len(mine)))
+        store.delete_file(part)
+        return _Message(files)
 
     def commit(self, messages: list) -> None:
-        index = sorted(x for m in messages if m for x in m.parts)
-        block = next(n for b, n, _, _ in PROFILES if b == self.bitrate)
-        if any(x[4] != block for x in index):
-            raise WaveError(f"every frame takes {block} bytes")
-        parts = {x[2]: open(x[2], "rb") for x in index}
-        for stream in dict.fromkeys(x[0] for x in index):
-            mine = [x for x in index if x[0] == stream]
-            n = int(self.samples) if self.samples else max(0, len(mine) - DRAIN_FRAMES) * FRAME
-            with open(os.path.join(self.path, f".{stream}.new"), "wb") as out:
-                out.write(coded_header(self.bitrate, block * len(mine), FRAME, n))
-                for _, _, name, at, size in mine:
-                    parts[name].seek(at)
-                    out.write(parts[name].read(size))
-            os.replace(os.path.join(self.path, f".{stream}.new"), os.path.join(self.path, f"{stream}.wav"))
-        for name, f in parts.items():
-            f.close()
-            os.remove(name)
+        store, at = opened(self.path)
+        streams: dict[str, list] = {}
+        for f in sorted(f for m in messages if m for f in m.files):
+            streams.setdefault(f[2], []).append(f)
+        if any(a[1] >= b[0] for mine in streams.values() for a, b in itertools.pairwise(mine)):
+            self.abort(messages)
+            raise WaveError("rows of a stream are mixed over tasks")
+        for stream, mine in streams.items():
+            whole = mine[0][3]
+            if len(mine) > 1:
+                whole = f"{at}/.{stream}.joined"
+                with store.open_output_stream(whole, compression=None) as out:
+                    out.write(self.header(sum(f[4] for f in mine), sum(f[5] for f in mine)))
+                    for _, _, _, piece, n, rows in mine:
+                        with store.open_input_stream(piece, compression=None) as old:
+                            old.read(len(self.header(n, rows)))
+                            while block := old.read(1 << 22):
+                                out.write(block)
+                        store.delete_file(piece)
+            store.move(whole, f"{at}/{stream}.wav")
 
     def abort(self, messages: list) -> None:
-        for name in {x[2] for m in messages if m for x in m.parts}:
-            if os.path.exists(name):
-                os.remove(name)
+        store, _ = opened(self.path)
+        for m in messages:
+            for f in m.files if m else []:
+                if store.get_file_info(f[3]).type == fs.FileType.File:
+                    store.delete_file(f[3])
+
+
+class CodedWriter(_Writer):
+    """Frames (stream_id, frame_no, bytes) of one bit rate; ``sampleCount`` may name the samples of each file."""
+
+    order = "frame_no"
+
+    def data(self, row) -> bytes:
+        if len(row["bytes"]) != (block := next(n for b, n, _, _ in PROFILES if b == int(self.options["bitrate"]))):
+            raise WaveError(f"every frame takes {block} bytes")
+        return bytes(row["bytes"])
+
+    def header(self, n_bytes: int, n_rows: int) -> bytes:
+        n = int(self.options["sampleCount"]) if self.options.get("sampleCount") else max(0, n_rows - DRAIN_FRAMES) * FRAME
+        return coded_header(int(self.options["bitrate"]), n_bytes, FRAME, n)
+
+
+class PcmWriter(_Writer):
+    """Samples (stream_id, sample_no, left, right), arrays in -1 to 1, as 16-bit files."""
+
+    order = "sample_no"
+
+    def data(self, row) -> bytes:
+        left, right = (np.array(row[c], np.float32) for c in ("left", "right"))
+        return np.stack([pcm16(left), pcm16(right)], 1).tobytes()
+
+    def header(self, n_bytes: int, n_rows: int) -> bytes:
+        return pcm_header(n_bytes)
+
+
+def by_stream(rows: DataFrame, order: str) -> DataFrame:
+    """Rows as the writers need them."""
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", order)
+
+
+def write_coded(frames: DataFrame, path: str, bitrate: int, overwrite: bool = False, sample_count: int | None = None) -> None:
+    out = by_stream(frames, "frame_no").write.format("coded_wav").mode("overwrite" if overwrite else "append").option("bitrate", bitrate)
+    (out if sample_count is None else out.option("sampleCount", sample_count)).save(path)
+
+
+def write_pcm(samples: DataFrame, path: str, overwrite: bool = False) -> None:
+    by_stream(samples, "sample_no").write.format("wav_pcm").mode("overwrite" if overwrite else "append").save(path)
 
 
 class PcmSource(DataSource):
@@ -276,6 +364,9 @@ class PcmSource(DataSource):
     def reader(self, schema) -> PcmReader:
         return PcmReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> PcmWriter:
+        return PcmWriter(self.options, overwrite)
+
 
 class CodedSource(DataSource):
     """format("coded_wav"): one row for each frame of each file; writes streams of frames."""
@@ -326,3 +417,45 @@ def wave_frames(images: DataFrame, content: str = "content", keep: tuple = ("pat
 
     rows = images.select(*keep, content, where(content).alias("w")).where("w.n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w.n") - 1)).alias("frame_no"))
     return rows.select(*keep, "frame_no", F.expr(f"substring({content}, int(w.data_at + frame_no * w.block + 1), w.block)").alias("bytes"))
+
+
+def coded_images(frames: DataFrame, stream: str, bitrate: int, sample_count: str | None = None) -> DataFrame:
+    """(stream, content): each stream's frames (frame_no, bytes) as one coded image, for streams that fit a row."""
+    rows = frames.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct("frame_no", "bytes"))).alias("frames"), (F.max(sample_count) if sample_count else F.lit(None).cast("long")).alias("n"))
+
+    @F.udf("binary")
+    def image(found, n):
+        return coded_wave(bitrate, [bytes(f["bytes"]) for f in found], sample_count=n)
+
+    return rows.select(stream, image("frames", "n").alias("content"))
+
+
+def pcm_images(samples: DataFrame, stream: str) -> DataFrame:
+    """(stream, content): each stream's samples (sample_no, left, right arrays) as one 16-bit image, for streams that fit a row."""
+    rows = samples.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct("sample_no", "left", "right"))).alias("x"))
+
+    @F.udf("binary")
+    def image(found):
+        left, right = (np.concatenate([np.array(x[c], np.float32) for x in found]) for c in ("left", "right"))
+        return pcm_wave(left, right)
+
+    return rows.select(stream, image("x").alias("content"))
+
+
+class WaveReader:
+    """A coded image in memory: its metadata, and its frames by iteration, plain or asynchronous."""
+
+    def __init__(self, image: bytes | bytearray | memoryview):
+        self.image = bytes(image)
+        self.info = parse(self.image)
+        self.metadata = {
+            "bitrate_kbps": self.info.bitrate, "channels": self.info.channels, "sample_rate": self.info.sample_rate, "bytes_per_frame": self.info.block,
+            "frame_count": self.info.frames, "sample_count": self.info.sample_count, "alignment_sample_count": FRAME if self.info.align is None else self.info.align,
+        }
+
+    def __iter__(self) -> Iterator[bytes]:
+        return frames_of(self.image)
+
+    async def __aiter__(self):
+        for frame in frames_of(self.image):
+            yield frame

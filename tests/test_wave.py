@@ -77,3 +77,44 @@ def test_images_in_columns(spark, coded):
     assert m["b"].frame_count is None and "RIFF" in m["b"].error
     got = wave.wave_frames(df.where("path = 'a'")).orderBy("frame_no").collect()
     assert [bytes(r.bytes) for r in got] == frames
+
+
+def test_streams_to_files_and_back(spark, tmp_path, coded):
+    frames, _ = coded
+    wave.register(spark)
+    rows = [(s, i, b) for s in ("a", "b") for i, b in enumerate(frames)]
+    df = spark.createDataFrame(rows, "stream_id string, frame_no long, bytes binary").repartition(4)
+    wave.write_coded(df, f"file://{tmp_path}/coded", 132)
+    assert (tmp_path / "coded" / "a.wav").read_bytes() == wave.coded_wave(132, frames)
+    assert sorted(p.name for p in (tmp_path / "coded").iterdir()) == ["a.wav", "b.wav"]  # parts are gone
+    with pytest.raises(Exception, match="has files"):
+        wave.write_coded(df, str(tmp_path / "coded"), 132)
+    with pytest.raises(Exception, match="takes 304"):
+        wave.write_coded(df, str(tmp_path / "other"), 105)
+    back = spark.read.format("coded_wav").option("range", 1).load(f"file://{tmp_path}/coded/a*.wav")
+    assert [(r.frame_no, bytes(r.bytes)) for r in back.orderBy("frame_no").collect()] == list(enumerate(frames))
+    left = np.sin(np.arange(5000) / 40).astype(np.float32) / 2
+    x = [(s, i, left[i : i + 1000].tolist(), (-left[i : i + 1000]).tolist()) for s in ("l", "r") for i in range(0, 5000, 1000)]
+    wave.write_pcm(spark.createDataFrame(x, "stream_id string, sample_no long, left array<float>, right array<float>").repartition(3), str(tmp_path / "pcm"))
+    assert (tmp_path / "pcm" / "r.wav").read_bytes() == wave.pcm_wave(left, -left)
+
+
+def test_images_from_tables(spark, coded):
+    frames, image = coded
+    df = spark.createDataFrame([("a", i, b, 4096) for i, b in enumerate(frames)], "s string, frame_no long, bytes binary, n long").repartition(3)
+    assert bytes(wave.coded_images(df, "s", 132, "n").first().content) == image
+    x = spark.createDataFrame([("a", 2, [0.5], [0.25]), ("a", 0, [0.0, 1.0], [0.0, -1.0])], "s string, sample_no long, left array<float>, right array<float>")
+    assert bytes(wave.pcm_images(x, "s").first().content) == wave.pcm_wave(np.array([0, 1, 0.5]), np.array([0, -1, 0.25]))
+
+
+def test_reader_in_memory(coded):
+    import asyncio
+
+    frames, image = coded
+    r = wave.WaveReader(memoryview(image))
+    assert list(r) == frames and r.metadata["frame_count"] == 7 and r.metadata["alignment_sample_count"] == 1024
+
+    async def all_of():
+        return [f async for f in r]
+
+    assert asyncio.run(all_of()) == frames
