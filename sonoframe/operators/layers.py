@@ -5,11 +5,13 @@ over a handful of numbers each: the energies come from a parallel aggregation.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from sonoframe.plans.dimensions import ACTIVITY, BAND_EDGES
 
@@ -64,6 +66,45 @@ def band_limit(p: SourceProfile, limit: int, budget: int, mono: bool) -> int:
     return max([limit, *(min(b + 2, 32) if b > 26 else 28 for b in worth.tolist())])
 
 
+#: Scales of a slot's sum by selector (as 32-bit images): balanced, left dominant, right dominant.
+SLOT_SCALES = np.array([
+    1068827891, 1069965582, 1070980006, 1071865150, 1072609823, 1073195371, 1073590838, 1073741824, 0, 1049774373, 1058162981, 1062956471,
+    1066551589, 1068948334, 1071345079, 1073741824, 1077216499, 1077155817, 1076971869, 1076658640, 1076204941, 1075592116, 1074789211, 1073741824,
+], np.uint32).view(F32).astype(np.float64)
+#: Weights of a mode, for the middle and, one on, for the ratio.
+MODE_WEIGHTS = [0, 2, 2, 1, 1]
+RAMP = 8
+
+
+def slot_scale(mode: int, selector: int) -> float:
+    """Scale of an unscaled slot's sum; a dominant side has the selector's own or the other half of the table."""
+    at = {3: selector & 7, 1: selector + 8, 0: (selector ^ 8) + 8}.get(mode, selector)
+    return float(SLOT_SCALES[at])
+
+
+def joined(left: np.ndarray, right: np.ndarray, modes: list[int], hints: list[int], scaled: int, ratios: tuple[list[float], list[float]], selectors: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Both layers' 1024 interleaved lines out of the two channels': a scaled slot's middle and its scaled difference, or a
+    slot's sum over its scale. ``ratios`` and ``selectors`` are the frame's before and this one's: the first eight lines of a
+    slot move from one to the other. Sums are in double precision, and stored in single."""
+    first, second = left.astype(F32).copy(), right.astype(F32).copy()
+    back = np.maximum(RAMP - np.arange(len(left) // SLOTS), 0) / RAMP  # one at the start, none behind the ramp
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for slot in range(SLOTS):
+            a, b = (x[slot::SLOTS].astype(np.float64) for x in (left.astype(F32), right.astype(F32)))
+            mode = abs(modes[slot])
+            if slot < scaled:
+                weight, old_weight = MODE_WEIGHTS[mode], MODE_WEIGHTS[hints[slot]]
+                scale = float(F32(MODE_WEIGHTS[mode + 1] * F32(ratios[1][slot])))
+                old_scale = ratios[0][slot] * MODE_WEIGHTS[hints[slot] + 1]
+                middle = (a + b) * 0.5
+                first[slot::SLOTS] = middle
+                second[slot::SLOTS] = (a - (weight + back * (old_weight - weight)) * middle) * (1 / (scale + back * (old_scale - scale)))
+            else:
+                scale, old_scale = slot_scale(mode, selectors[1]), slot_scale(mode, selectors[0])
+                first[slot::SLOTS] = (1 / (scale + back * (old_scale - scale))) * (a + b)
+    return first, second
+
+
 @dataclass
 class StereoState:
     scaled: int = 0  # slots that a ratio scales
@@ -124,13 +165,22 @@ def stereo_step(s: StereoState, energies: list[tuple[float, float]]) -> tuple[St
 
 
 def stereo_plan(energies: DataFrame, scaled: int = 0) -> DataFrame:
-    """Modes, hints, ratios and selector of each frame; ``energies``: stream_id, frame_no, and arrays left and right."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        s, out = StereoState(scaled), []
-        for r in rows.sort_values("frame_no").itertuples():
-            s, hints = stereo_step(s, list(zip(r.left, r.right, strict=True)))
-            out.append((r.stream_id, r.frame_no, s.modes, hints, s.ratios, s.selector))
-        return pd.DataFrame(out, columns=["stream_id", "frame_no", "modes", "hints", "ratios", "selector"])
-
-    return energies.groupBy("stream_id").applyInPandas(walk, "stream_id long, frame_no long, modes array<int>, hints array<int>, ratios array<double>, selector int")
+    """Modes, hints, ratios and selector of each frame; ``energies``: stream_id, frame_no, and arrays left and right. Rows come
+    sorted and the walk keeps one state, so its memory doesn't grow with a stream."""
+    rows = energies.select("stream_id", "frame_no", "left", "right").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    lists = [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("modes", "hints")]
+    schema = T.StructType([*rows.schema.fields[:2], *lists, T.StructField("ratios", T.ArrayType(T.DoubleType())), T.StructField("selector", T.IntegerType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, s = None, StereoState(scaled)
+        for b in batches:
+            out = []
+            for of, left, right in zip(*[b.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
+                if of != stream:
+                    stream, s = of, StereoState(scaled)
+                s, hints = stereo_step(s, list(zip(left, right, strict=True)))
+                out.append((s.modes, hints, s.ratios, s.selector))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]], schema.names)
+
+    return rows.mapInArrow(walk, schema)

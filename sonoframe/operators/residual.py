@@ -27,6 +27,11 @@ SYMBOL_BITS = [0, 2, 3, 3, 4, 4, 5, 6]
 MODES = range(1, 8)
 
 
+def checked(band: int, mode: int, scale_factor: int) -> None:
+    if not (0 <= band < len(BAND_EDGES) - 1 and mode in MODES and 0 <= scale_factor < len(SCALES)):
+        raise ValueError(f"no residual of band {band}, mode {mode}, scale factor {scale_factor}")
+
+
 def quantizer_scale(mode: int, scale_factor: int) -> np.float32:
     grown = scale_factor * 43  # a third of it in steps of 128
     third = 3 * ((grown >> 7) + mode) - scale_factor
@@ -69,6 +74,20 @@ def cost(lines: np.ndarray, mode: int, scale_factor: int) -> tuple[int, float]:
     return 6 + int(length[s].sum()), float(np.cumsum((x - back) ** 2)[-1])
 
 
+def costs(x: np.ndarray, mode: int, scale_factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and squared errors, as ``cost``, of one band of many spectra (rows x lines), each under its own scale factor."""
+    x = x.astype(np.float64)
+    if mode == 0:
+        return np.zeros(len(x), np.int64), np.cumsum(x * x, axis=1)[:, -1]
+    scales = np.array([quantizer_scale(mode, s) for s in range(64)], np.float32).astype(np.float64)[scale_factors]
+    s = (x * scales[:, None] + 12582912.0).astype(np.float32).view(np.uint32).astype(np.int64) & (1 << SYMBOL_BITS[mode]) - 1
+    if mode == 1:
+        s = s[:, 0::2] * 4 + s[:, 1::2]
+    length, value = tables(mode)
+    back = (value[s] * SCALES[scale_factors][:, None, None]).reshape(len(x), -1).astype(np.float64)
+    return 6 + length[s].sum(1), np.cumsum((x - back) ** 2, axis=1)[:, -1]
+
+
 def neighbours(lines: np.ndarray, mode: int, scale_factor: int) -> dict[str, tuple[int, float] | None]:
     """Costs of a mode or a scale factor one lower or higher, none outside their ranges."""
     out: dict[str, tuple[int, float] | None] = {}
@@ -86,16 +105,19 @@ def band_costs(spectra: DataFrame, keys: list[str], lines: str, factors: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, out = [], []
-            for i, (x, s) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
-                x = np.array(x or [], np.float32)
-                for band, factor in enumerate(s or []):
-                    part = x[BAND_EDGES[band] : BAND_EDGES[band + 1]]
-                    for mode in (0, *MODES):
-                        at.append(i)
-                        out.append((band, mode, *cost(part, mode, factor)))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:n]]
-            yield pa.RecordBatch.from_arrays([*taken, *[pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)]], schema.names)
+            found, factors = (b.column(i).to_pylist() for i in (n, n + 1))
+            at, columns = [], []
+            for band in range(max((len(s or []) for s in factors), default=0)):
+                rows = np.array([i for i, s in enumerate(factors) if s and len(s) > band], np.int64)
+                x = np.array([found[i][BAND_EDGES[band] : BAND_EDGES[band + 1]] for i in rows], np.float32)
+                scale = np.array([factors[i][band] for i in rows], np.int64)
+                for mode in (0, *MODES):
+                    bits, error = costs(x, mode, scale)
+                    at.append(rows)
+                    columns.append((np.full(len(rows), band), np.full(len(rows), mode), bits, error))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            parts = [np.concatenate([c[k] for c in columns]) if columns else np.zeros(0) for k in range(4)]
+            taken = [c.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64())) for c in b.columns[:n]]
+            yield pa.RecordBatch.from_arrays([*taken, *[pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in zip(parts, kinds, strict=True)]], schema.names)
 
     return rows.mapInArrow(run, schema)

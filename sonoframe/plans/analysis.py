@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonoframe.functions.scalar import scale_at, scale_index, tonality
 from sonoframe.plans.dimensions import BAND_EDGES, SPREAD_DOWN, SPREAD_UP, TINY
@@ -96,21 +98,31 @@ def thresholds(factors: DataFrame, keep: list[str], attack: Column) -> DataFrame
     return factors.withColumn("threshold", F.when(attack, struck).otherwise(calm))
 
 
-def residual_groups(spectra: DataFrame, lines: str, keep: list[str]) -> DataFrame:
-    return group_scale_profile(spectra, lines, keep)
-
-
 def chunk_peaks(samples: DataFrame, stream: str, value: str, size: int) -> DataFrame:
     """Largest magnitude of each ``size`` samples of a stream."""
     return samples.groupBy(stream, F.floor(F.col("sample_no") / size).cast("long").alias("chunk_no")).agg(F.max(F.abs(value)).alias("peak"))
 
 
+#: Chunks of a stream that one task looks at together, and those before them that a smoothed value still depends on: what
+#: lies further back counts less than 0.7 ** 256 of itself.
+BLOCK, WARM_UP = 4096, 256
+
+
 def running_ceiling(peaks: DataFrame, stream: str) -> DataFrame:
-    """Largest peak before each chunk (attacks) and after it (releases)."""
+    """Largest peak before each chunk (attacks) and after it (releases).
+
+    In two levels, so that no task holds a long stream: the peaks of blocks of chunks give what lies before and after each
+    block, and windows over one block give the rest."""
+    rows = peaks.withColumn("block", F.floor(F.col("chunk_no") / BLOCK))
+    blocks = rows.groupBy(stream, "block").agg(F.max("peak").alias("top"))
     w = W.partitionBy(stream)
-    before = F.max("peak").over(w.orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1))
-    after = F.max("peak").over(w.orderBy(F.desc("chunk_no")).rowsBetween(W.unboundedPreceding, -1))
-    return peaks.withColumn("ceiling", before).withColumn("release_ceiling", after)
+    earlier, later = (F.max("top").over(w.orderBy(o).rowsBetween(W.unboundedPreceding, -1)) for o in (F.col("block"), F.desc("block")))
+    blocks = blocks.select(F.col(stream).alias("of"), F.col("block").alias("at"), earlier.alias("earlier"), later.alias("later"))
+    one = W.partitionBy(stream, "block")
+    before, after = (F.max("peak").over(one.orderBy(o).rowsBetween(W.unboundedPreceding, -1)) for o in (F.col("chunk_no"), F.desc("chunk_no")))
+    both = rows.withColumn("before", before).withColumn("after", after).join(blocks, (F.col(stream) == F.col("of")) & (F.col("block") == F.col("at")))
+    # The greater of two that may be missing.
+    return both.select(*peaks.columns, F.greatest("earlier", "before").alias("ceiling"), F.greatest("later", "after").alias("release_ceiling"))
 
 
 #: log2(e) in single precision.
@@ -123,17 +135,22 @@ def rise(value: Column, ceiling: Column) -> Column:
 
 
 def log_flux(peaks: DataFrame, stream: str) -> DataFrame:
-    """Chunks whose rise exceeds the smoothed rise before them by 0.7: a recursion over each stream's short list of chunks."""
+    """Chunks whose rise exceeds the smoothed rise before them by 0.7: a recursion over blocks of a stream's chunks, each
+    begun WARM_UP chunks earlier."""
     rows = running_ceiling(peaks, stream).withColumn("rise", rise(F.col("peak"), F.coalesce("ceiling", F.lit(0.0))))
-    listed = rows.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct("chunk_no", "rise"))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("smooth"), F.array().cast("array<struct<chunk_no:bigint,rise:double,smoothed:double,detected:boolean>>").alias("out"))
-    walked = F.aggregate(
-        "xs",
-        start,
-        lambda a, x: F.struct(
-            (0.3 * x["rise"] + 0.7 * a["smooth"]).alias("smooth"),
-            F.concat(a["out"], F.array(F.struct(x["chunk_no"].alias("chunk_no"), x["rise"].alias("rise"), a["smooth"].alias("smoothed"), (x["rise"] > a["smooth"] + 0.7).alias("detected")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return listed.select(stream, F.explode(walked).alias("x")).select(stream, "x.*")
+    block = lambda n: F.floor(n / BLOCK)
+    blocks = F.array_distinct(F.array(block(F.col("chunk_no")), block(F.col("chunk_no") + WARM_UP)))
+    rows = rows.select(stream, "chunk_no", "rise", F.explode(blocks).alias("block"))
+    schema = T.StructType([rows.schema[stream], T.StructField("chunk_no", T.LongType()), *[T.StructField(x, T.DoubleType()) for x in ("rise", "smoothed")], T.StructField("detected", T.BooleanType())])
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_no", ignore_index=True)
+        smoothed, now = [], 0.0
+        for r in pdf["rise"].tolist():
+            smoothed.append(now)
+            now = 0.3 * r + 0.7 * now
+        pdf["smoothed"] = smoothed
+        pdf["detected"] = pdf["rise"] > pdf["smoothed"] + 0.7
+        return pdf[pdf["chunk_no"] // BLOCK == key[1]][schema.names]
+
+    return rows.groupBy(stream, "block").applyInPandas(walk, schema)

@@ -113,3 +113,23 @@ def test_gained_spectra(spark):
         scale = np.stack([kernels.gain_scale(a, b) for a, b in zip(gains[i - 1], gains[i], strict=True)])[None]
         assert (got[i] == kernels.spectrum(window, scale)[0]).all()
         assert (got[i][256:512] == plain[i][256:512]).all() and (got[i][:256] != plain[i][:256]).any()
+
+
+def test_long_streams_are_cut(spark, monkeypatch):
+    """Ceilings and smoothed rises of a stream over many blocks are those of the stream in one piece."""
+    from sonoframe.plans import analysis as A
+
+    rng = np.random.default_rng(12)
+    peaks = (10 ** rng.uniform(0, 3, 400)).tolist()
+    df = spark.createDataFrame([("s", i, p) for i, p in enumerate(peaks)] + [("t", 3, 1.0)], "stream string, chunk_no long, peak double").repartition(3)
+    monkeypatch.setattr(A, "BLOCK", 32)
+    rows = {r.chunk_no: r for r in A.running_ceiling(df, "stream").where("stream = 's'").collect()}
+    for i in range(400):
+        assert rows[i].ceiling == (max(peaks[:i]) if i else None) and rows[i].release_ceiling == (max(peaks[i + 1 :]) if i < 399 else None)
+    monkeypatch.setattr(A, "WARM_UP", 32)
+    monkeypatch.setattr(A, "BLOCK", 64)
+    got = {r.chunk_no: r for r in A.log_flux(df, "stream").where("stream = 's'").collect()}
+    smoothed = 0.0
+    for i in range(400):
+        assert abs(got[i].smoothed - smoothed) < 1e-4 and got[i].detected == (got[i].rise > got[i].smoothed + 0.7)
+        smoothed = 0.3 * got[i].rise + 0.7 * smoothed

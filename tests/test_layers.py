@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sonoframe.operators import layers as L
 
@@ -41,3 +42,28 @@ def test_stereo_plan(spark):
     for r in sorted((r for r in got if r.stream_id == 2), key=lambda r: r.frame_no):
         state, hints = L.stereo_step(state, list(zip(*[x for x in rows if x[:2] == (2, r.frame_no)][0][2:], strict=True)))
         assert (r.modes, r.hints, r.selector) == (state.modes, hints, state.selector)
+
+
+def test_joined_layers():
+    """Against the definition, line by line."""
+    rng = np.random.default_rng(4)
+    left, right = rng.normal(0, 1000, (2, 1024)).astype(np.float32)
+    modes, hints, ratios, selectors = [3, 1, 0, -3], [1, 3, 3, 0], ([0.5, 0, 0, 0], [1.25, 0, 0, 0]), (5, 11)
+    first, second = L.joined(left, right, modes, hints, 1, ratios, selectors)
+    for slot in range(4):
+        for t in (0, 3, 7, 8, 200):
+            i, share = slot + 4 * t, max(8 - t, 0) / 8
+            a, b = float(left[i]), float(right[i])
+            if slot == 0:
+                weight, scale = 1 + share * (2 - 1), 1.25 * 1 + share * (0.5 * 2 - 1.25)
+                mid = (a + b) / 2
+                assert first[i] == np.float32(mid) and second[i] == pytest.approx((a - weight * mid) / scale, rel=1e-6)
+            else:
+                at = {1: (5 + 8, 11 + 8), 2: ((5 ^ 8) + 8, (11 ^ 8) + 8), 3: (5 & 7, 11 & 7)}[slot]
+                old, new = (L.SLOT_SCALES[k] for k in at)
+                assert first[i] == pytest.approx((a + b) / (new + share * (old - new)), rel=1e-6)
+                assert second[i] == right[i]
+
+
+def test_slot_scales():
+    assert L.slot_scale(3, 15) == L.SLOT_SCALES[7] and L.slot_scale(1, 2) == L.SLOT_SCALES[10] and L.slot_scale(0, 2) == L.SLOT_SCALES[18]

@@ -40,3 +40,13 @@ def test_band_costs(spark):
     assert len(got) == 256
     for band, costs in COSTS.items():
         assert [got[band, m][0] for m in range(8)] == [c[0] for c in costs]
+
+
+def test_many_spectra_cost_what_each_does():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 300, (40, 16)).astype(np.float32)
+    factors = rng.integers(0, 64, 40)
+    for mode in range(8):
+        bits, error = R.costs(x, mode, factors)
+        for i in range(40):
+            assert (bits[i], error[i]) == R.cost(x[i], mode, int(factors[i]))
