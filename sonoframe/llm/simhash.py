@@ -5,7 +5,8 @@ bits are linked, and documents joined by links form a component.
 
 Links are sought between distinct fingerprints only or, where texts are compared too, between distinct sets of shingles. Fingerprints that may be near share a block: in the exact plan the
 bits are cut into parts and near fingerprints agree on some of them (so no link is lost at any size); in the banded plan,
-for wide radii, blocks are seeded bit samples with a stated recall. Inside a block the pivot tables decide: Hamming
+for similar texts, a block is a run of least hashes of the shingles, on which two texts agree with the probability that their
+similarity gives, whatever the number of texts: as many blocks as a stated recall takes, and unlike texts hardly ever meet. Inside a block the pivot tables decide: Hamming
 distances to fixed reference fingerprints are computed once per fingerprint, a pair whose largest coordinate difference is
 above ``most`` cannot be near (triangle inequality) and is discarded, and the survivors are verified bit by bit. Blocks
 above TILE rows are cut into tiles that meet pairwise in tasks of their own. A task emits no pairs but spanning links, at
@@ -45,6 +46,8 @@ PIVOTS = 24
 NEAR_SHARE = 0.8
 NEAR_WORDS = 4
 NEAR_BITS = 54
+#: Least hashes of one block, and blocks of a text: pairs at NEAR_SHARE meet with a probability of 0.996.
+BAND_ROWS, BANDS = 5, 14
 #: Nodes from here on stand for fingerprints that only null ids have.
 NAMELESS = 1 << 62
 #: Rows of a block that are compared in one task; larger blocks are cut into tiles.
@@ -101,25 +104,28 @@ def majority(hashes: np.ndarray, words: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text", different: bool = False) -> DataFrame:
-    """(doc_id, fp binary, same binary) of whole texts. Rows with equal ``same`` are one to the links: that is the fingerprint,
-    or, for fingerprints of different shingles, a digest of their whole set."""
+    """(doc_id, fp binary, same binary) of whole texts, and for fingerprints of different shingles the texts' block ``keys``.
+    Rows with equal ``same`` are one to the links: that is the fingerprint, or a digest of the whole set of shingles."""
     short_batches(docs.sparkSession)
 
-    def both(text: bytes) -> tuple[bytes, bytes]:
+    def found_in(text: bytes) -> tuple[bytes, ...]:
         hashes = shingle_hashes(text, k)
         if not different:
             return (fp := majority(hashes, words)), fp
         hashes = np.unique(hashes)
-        return majority(hashes, words), xxhash.xxh3_128_digest(hashes.tobytes())
+        return majority(hashes, words), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(hashes)
+
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())][: 3 if different else 2]
+    names = ["doc_id", "fp", "same", "keys"][: 1 + len(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [both(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.binary())]
-            columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fp", "same"])
+            found = [found_in(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.binary())]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, fp binary, same binary")
+    return rows.mapInArrow(lean(run), "doc_id long, fp binary, same binary" + ", keys array<bigint>" * different)
 
 
 def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
@@ -133,27 +139,24 @@ def exact_parts(n: int, bits: int, most: int) -> list[list[int]]:
     return [sum((parts[i] for i in some), []) for some in combinations(range(most + c), c)]
 
 
-def recall_of(bits: int, p: float, most: int, size: int, tables: int) -> float:
-    """Probability that a pair whose bits each differ with probability p lies within ``most`` bits and agrees on one of so
-    many samples of ``size`` bits at least: over all its distances, since their mean would promise too much."""
-    met = lambda d: 1 - (1 - math.comb(bits - d, size) / math.comb(bits, size)) ** tables
-    return sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * met(d) for d in range(most + 1))
+def recall_of(bits: int, similar: float, most: int, rows: int = BAND_ROWS, bands: int = BANDS) -> float:
+    """Probability that a pair of that similarity agrees on all least hashes of some band, and that its fingerprints lie within
+    ``most`` bits: over all their distances, since their mean would promise too much."""
+    p = bits_apart(similar)
+    near = sum(math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(most + 1))
+    return near * (1 - (1 - similar**rows) ** bands)
 
 
-def banded_parts(n: int, bits: int, p: float, most: int, recall: float = 0.99) -> list[list[int]]:
-    """Seeded bit samples such that a pair whose bits each differ with probability p meets in one, within ``most`` bits, with
-    the given probability at least; longer samples for more fingerprints, and more of them, so that recall stays."""
-    size = max(8, min(bits, math.ceil(math.log2(max(n, 2))) - 8))
-    if recall_of(bits, p, most, 0, 1) < recall:
-        raise ValueError(f"a radius of {most} bits has no recall of {recall}")
-    low, tables = 0, 1
-    while recall_of(bits, p, most, size, tables) < recall:
-        low, tables = tables, 2 * tables
-    while tables - low > 1:
-        half = (low + tables) // 2
-        low, tables = (low, half) if recall_of(bits, p, most, size, half) >= recall else (half, tables)
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(tables)]
+def band_keys(hashes: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
+    """A text's block keys: for each band its number and the least values of the shingles' hashes under ``rows`` orders."""
+    odd = np.random.default_rng(SEED).integers(0, 2**63, (rows * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(rows * bands, np.uint64(2**64 - 1))
+    for i in range(0, len(hashes), 4096):  # whole texts, in pieces of bounded memory
+        least = np.minimum(least, (odd * mixed(hashes[i : i + 4096], 7)).min(1))
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        key = mixed(key ^ row, 1)
+    return key.view(np.int64)
 
 
 def pivot_table(fps: np.ndarray, words: int) -> np.ndarray:
@@ -231,9 +234,10 @@ def as_words(fp, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]], words: int, most: int) -> DataFrame:
-    """Spanning links (a, b) between the nodes of ``distinct`` (node, fp) that lie within ``most`` bits in some block."""
-    short = [np.array(p) for p in parts]
+def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]] | None, words: int, most: int) -> DataFrame:
+    """Spanning links (a, b) between the nodes of ``distinct`` (node, fp) that lie within ``most`` bits in some block. Blocks are
+    the given bit positions or, without them, those of a column ``keys``."""
+    short = [np.array(p) for p in parts or []]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,7 +289,15 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
             find.pairs_across(one, np.flatnonzero((pdf["tile"] == key[2]).to_numpy()))
         return linked(find, pdf["node"].to_numpy()).to_pandas()
 
-    rows = distinct.select("node", "fp").mapInArrow(lean(keyed), "block long, node long, fp binary")
+    if parts is None:
+        # Most texts are alone in most of their blocks; those need not be sorted with their fingerprints.
+        keys = keep(distinct.select("node", F.explode("keys").alias("block")), "block-keys")
+        shared = keys.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        shared = keep(shared, "shared-blocks")
+        met = join_groups(keys, shared, "block", "rows", keys.count()).drop("rows")
+        rows = met.join(distinct.select("node", "fp"), "node").select("block", "node", "fp")
+    else:
+        rows = distinct.select("node", "fp").mapInArrow(lean(keyed), "block long, node long, fp binary")
     rows = keep(rows, "blocks")
     large = keep(rows.groupBy("block").count().where(F.col("count") > TILE), "large-blocks")
     out = None
@@ -304,24 +316,25 @@ def block_links(spark: SparkSession, distinct: DataFrame, parts: list[list[int]]
 def near_duplicates(docs: DataFrame, k: int, most: int, words: int = 1, similar: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links lead to).
 
-    Without ``similar``, all fingerprints within ``most`` bits are linked. With it, blocks are bit samples in which texts of
-    that similarity meet with the recall of banded_parts, and a link counts only if the two texts share that much of their
+    Without ``similar``, all fingerprints within ``most`` bits are linked. With it, blocks are runs of least hashes in which texts of
+    that similarity meet with the recall of recall_of, and a link counts only if the two texts share that much of their
     shingles; only texts with the same set of shingles are one without it, whatever their fingerprints."""
     spark = docs.sparkSession
     rows = keep(fingerprints(docs, k, words, id_col, text_col, different=similar is not None), "fingerprints")
     total, bits = rows.count(), 64 * words
-    distinct = rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    others = [F.first("keys").alias("keys")] if similar is not None else []
+    distinct = rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *others)
     nameless = F.lit(NAMELESS) + F.xxhash64("same").bitwiseAND(NAMELESS - 1)
     distinct = keep(distinct.withColumn("node", F.coalesce("node", nameless)), "distinct-fingerprints", total)
     n = distinct.count()
-    parts = exact_parts(n, bits, most) if similar is None else banded_parts(n, bits, bits_apart(similar), most)
+    parts = exact_parts(n, bits, most) if similar is None else None
     links = block_links(spark, distinct if similar is None else distinct.where(F.col("node") < NAMELESS), parts, words, most)
     if similar is not None:
         links = similar_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), links, k, similar)
     found = connected_components(links)
     least = F.coalesce("component", "node")
     settled = distinct.join(found, "node", "left").select("same", "n", F.when(least < NAMELESS, least).alias("component_id"))
-    return join_groups(rows, keep(settled, "components", n), "same", "n", total).select("doc_id", "fp", "component_id")
+    return join_groups(rows.select("doc_id", "fp", "same"), keep(settled, "components", n), "same", "n", total).select("doc_id", "fp", "component_id")
 
 
 def bits_apart(similar: float) -> float:
