@@ -15,6 +15,7 @@ empty result; other columns are ignored, or carried along by drop_exact_duplicat
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,19 @@ from pyspark.sql import functions as F
 from sonoframe.llm.common import fresh_path, full_text, join_groups, keep, packed, partitions, without_rows
 
 
+#: Files of a bucket from which on an index is written anew.
+MOST_FILES = 16
+
+
 class DigestIndex:
-    """Digests at ``path`` in a fixed number of buckets. An index that exists there is opened with its own number."""
+    """Digests at ``path`` in a fixed number of buckets. An index that exists there is opened with its own number.
+
+    Every batch appends a file to each bucket; where there are MOST_FILES of a bucket, all are written anew as one, beside the
+    old ones, which go when that is complete. One session at a time adds to an index."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.root = spark, path.rstrip("/")
-        self.name = "digest_index_" + hashlib.md5(self.root.encode()).hexdigest()
-        self.buckets = self._recorded() or buckets or partitions(spark)
-        self.path = f"{self.root}/b{self.buckets:06d}"
+        self.buckets, self.version = self._recorded() or (buckets or partitions(spark), 0)
         if not self._exists(self.path):
             self._write(spark.createDataFrame([], "digest binary, keep_id long"))
         elif not spark.catalog.tableExists(self.name):
@@ -38,6 +44,14 @@ class DigestIndex:
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
             )
 
+    @property
+    def path(self) -> str:
+        return f"{self.root}/b{self.buckets:06d}-{self.version:06d}"
+
+    @property
+    def name(self) -> str:
+        return f"digest_index_{hashlib.md5(self.root.encode()).hexdigest()}_{self.version}"
+
     def _files(self):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
@@ -46,27 +60,46 @@ class DigestIndex:
         fs, _ = self._files()
         return fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
 
-    def _recorded(self) -> int | None:
+    def _recorded(self) -> tuple[int, int] | None:
+        """Buckets and version of the newest complete index."""
         fs, at = self._files()
         if not fs.exists(at):
             return None
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        return max((int(n[1:]) for n in names if n[:1] == "b" and n[1:].isdigit()), default=None)
+        names = [re.fullmatch(r"b(\d+)-(\d+)", x.getPath().getName()) for x in fs.listStatus(at)]
+        found = [(int(m[2]), int(m[1])) for m in names if m and self._exists(f"{self.root}/{m[0]}/_SUCCESS")]
+        return max(found)[::-1] if found else None
 
-    def _write(self, digests: DataFrame) -> None:
+    def _write(self, digests: DataFrame, mode: str = "append") -> None:
         (
             digests.select("digest", "keep_id").repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").option("path", self.path)
+            .write.mode(mode).format("parquet").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def files(self) -> int:
+        fs, _ = self._files()
+        return sum(x.getPath().getName().startswith("part-") for x in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)))
+
     def add(self, groups: DataFrame) -> None:
         """Append those of the groups (digest, keep_id) that the index lacks. Adding the same again changes nothing."""
         self._write(groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
         self.spark.catalog.refreshTable(self.name)
+        if self.files() > MOST_FILES * self.buckets:
+            self.compact()
+
+    def compact(self) -> None:
+        """One file for each bucket."""
+        old, old_name = self.path, self.name
+        # As plain files: the planner takes a table's buckets for the partitions asked for, and then reads it without them.
+        digests = self.spark.read.schema("digest binary, keep_id long").parquet(old)
+        self.version += 1
+        self._write(digests, "overwrite")
+        self.spark.sql(f"DROP TABLE IF EXISTS {old_name}")
+        fs, _ = self._files()
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

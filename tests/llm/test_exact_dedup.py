@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+from sonoframe.llm import exact_dedup
 from sonoframe.llm.common import fresh_path
 from sonoframe.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_duplicates
 
@@ -58,3 +59,19 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), (1, "x"), (None, "y")], "doc_id long, text string")
     got = exact_duplicates(df, DigestIndex(spark, fresh_path(spark, "t"))).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in got) == [("1", "1", True), ("None", "1", False), ("None", "1", False), ("None", "None", True)]
+
+
+def test_many_batches_are_compacted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 3)
+    path = fresh_path(spark, "t")
+    known = set()
+    for i in range(9):
+        index = DigestIndex(spark, path, buckets=2)
+        rows = [(10 * i + j, f"text {10 * i + j - j % 3 * 7}") for j in range(10)]
+        got = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()
+        assert sum(r.kept for r in got) == len({sha(t) for _, t in rows} - known)
+        known |= {sha(t) for _, t in rows}
+        assert index.files() <= 8 and index.table().count() == len(known)
+    assert index.version > 0 and DigestIndex(spark, path).version == index.version
+    index.compact()
+    assert index.files() == 2 and index.table().count() == len(known)
