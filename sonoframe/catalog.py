@@ -841,3 +841,12 @@ def band_error(spark: SparkSession, sf: str) -> DataFrame:
     """Squared error of each band's normalised lines at word length 5."""
     q = F.transform("ns", lambda n: S.quantize(n.cast("double"), F.lit(5), S.dead_zone(F.lit(3), F.lit(5))))
     return normal_bands(spark, sf).select("vec_id", "band", F.round(S.reconstruction_error(F.col("ns"), q, F.lit(1.0), F.lit(5)), 6).alias("error"))
+
+
+@query("""SELECT vec_id, CAST(40 + vec_id % 7 * 300 AS INTEGER) AS budget, TRUE AS fits, CAST(32 AS INTEGER) AS bands, TRUE AS any_coded FROM embeddings""")
+def rate_control(spark: SparkSession, sf: str) -> DataFrame:
+    """Word lengths of spectra within budgets from very small to ample: none takes more than it may."""
+    rows = embedded(spark, sf).select("vec_id", F.flatten(F.array_repeat(F.transform("embedding", lambda v: v * F.lit(100.0).cast("float")), 16)).alias("lines"), (40 + F.col("vec_id") % 7 * 300).cast("int").alias("budget"))
+    out = encoding.allocations(rows, ["vec_id", "budget"], "lines", "budget")
+    coded = F.exists("word_lengths", lambda w: w > 0) | (F.col("budget") < 300)
+    return out.select("vec_id", "budget", (F.col("bits") <= F.col("budget")).alias("fits"), F.size("word_lengths").alias("bands"), coded.alias("any_coded"))
