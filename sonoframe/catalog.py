@@ -12,7 +12,7 @@ from sonoframe.functions import bits as B
 from sonoframe.functions import scalar as S
 from sonoframe import codec
 from sonoframe.operators import encoding, gains, layers, residual, spectral, synthesis, syntax
-from sonoframe.operators.kernels import filter_taps
+from sonoframe.operators.kernels import HALF_FILTER, filter_taps
 from sonoframe.plans import analysis as A
 from sonoframe.plans import framing as FR
 from sonoframe.plans.codebooks import code_bits, codebook
@@ -825,6 +825,22 @@ def restored_signal(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.restored(framed, ["stream_id"])
 
 
+@query(f"WITH {COUNTED} SELECT stream_id, CAST(ceil(n / 1024.0) AS BIGINT) AS frames, TRUE AS agree FROM n")
+def layered_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """The lower bit rates' filter bank against the other one: bands have the same energies, up to the first tap's square."""
+    rows = stereo(spark, sf).select("stream_id", "sample_no", "l")
+    framed = FR.frames(rows, "stream_id", ["l"], 1024, 0).select("stream_id", "frame_no", F.transform("l", lambda x: x * F.lit(1024.0).cast("float")).alias("samples"))
+    energy = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    one = spectral.subbands(framed, ["stream_id"]).select("stream_id", "frame_no", *[energy(F.col(f"b{i}")).alias(f"e{i}") for i in range(4)])
+    other = spectral.layered_subbands(framed, ["stream_id"])
+    of_band = lambda b: F.filter("lines", lambda _, i: i % 4 == b)
+    parts = [energy(of_band(b)).alias(f"o{b}") for b in range(4)]
+    both = one.join(other.select("stream_id", "frame_no", *parts), ["stream_id", "frame_no"])
+    tap = HALF_FILTER[0] ** 4
+    near = S.all_of([F.abs(F.col(f"o{b}") * tap - F.col(f"e{b}")) <= 1e-3 * (F.col(f"e{b}") + 1e-3 * (F.col("e0") + F.col("e1") + F.col("e2") + F.col("e3"))) for b in range(4)])
+    return both.groupBy("stream_id").agg(F.count(F.lit(1)).alias("frames"), F.bool_and(near).alias("agree"))
+
+
 @query()
 def gain_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Gain records of each supplier's prices read as bands of 768 samples."""

@@ -59,6 +59,19 @@ def subbands(frames: DataFrame, keys: list[str], value: str = "samples", frame:
     return rows.mapInArrow(run, schema)
 
 
+def layered_subbands(frames: DataFrame, keys: list[str], value: str = "samples", frame: str = "frame_no") -> DataFrame:
+    """``lines``: interleaved bands (band = place mod 4) of the lower bit rates' filter bank, of each 1024-sample frame."""
+    rows = with_previous(frames.select(*keys, frame, value), keys, value, frame).select(*keys, frame, value, "before")
+    n = len(keys) + 1
+    schema = T.StructType([*rows.schema.fields[:n], T.StructField("lines", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], _lists(kernels.layered_bands(_rows(b.column(n), 1024), _rows(b.column(n + 1), 1024)))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 GAINS = "array<array<struct<location:int,level:int>>>"
 
 
