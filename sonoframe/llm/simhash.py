@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -113,16 +114,16 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1, id_col: str = "doc_id"
         if not different:
             return (fp := majority(hashes, words)), fp
         hashes = np.unique(hashes)
-        return majority(hashes, words), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(hashes)
-
-    kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())][: 3 if different else 2]
-    names = ["doc_id", "fp", "same", "keys"][: 1 + len(kinds)]
+        return majority(hashes, words), xxhash.xxh3_128_digest(hashes.tobytes()), least_hashes(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [found_in(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(1).cast(pa.binary())]
-            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+            columns = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+            if different:
+                keys = band_keys(np.array([x[2] for x in found], np.uint64).reshape(len(found), -1))
+                columns.append(pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel())))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fp", "same", "keys"][: 1 + len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lean(run), "doc_id long, fp binary, same binary" + ", keys array<bigint>" * different)
@@ -147,14 +148,25 @@ def recall_of(bits: int, similar: float, most: int, rows: int = BAND_ROWS, bands
     return near * (1 - (1 - similar**rows) ** bands)
 
 
-def band_keys(hashes: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
-    """A text's block keys: for each band its number and the least values of the shingles' hashes under ``rows`` orders."""
-    odd = np.random.default_rng(SEED).integers(0, 2**63, (rows * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(rows * bands, np.uint64(2**64 - 1))
+@lru_cache(1)
+def orders() -> np.ndarray:
+    """Odd factors, each of which orders hashes anew."""
+    return np.random.default_rng(SEED).integers(0, 2**63, (BAND_ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a text's hashes under each order."""
+    least = np.full(BAND_ROWS * BANDS, np.uint64(2**64 - 1))
+    hashes = hashes ^ (hashes >> np.uint64(32))
     for i in range(0, len(hashes), 4096):  # whole texts, in pieces of bounded memory
-        least = np.minimum(least, (odd * mixed(hashes[i : i + 4096], 7)).min(1))
-    key = np.arange(bands, dtype=np.uint64)
-    for row in least.reshape(bands, rows).T:
+        least = np.minimum(least, (orders() * hashes[i : i + 4096]).min(1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """Block keys (texts x BANDS) of texts' least hashes (texts x orders): each from a band's number and its values."""
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
+    for row in least.reshape(len(least), BANDS, BAND_ROWS).transpose(2, 0, 1):
         key = mixed(key ^ row, 1)
     return key.view(np.int64)
 
