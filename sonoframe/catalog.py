@@ -475,9 +475,8 @@ c AS (SELECT DISTINCT s_suppkey, seed, greatest(0, least(1133, seed + d)) AS bud
 SELECT s_suppkey, budget FROM c""")
 def budget_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """Budgets to try around a seed, each once."""
-    steps = F.array(*[F.lit(d) for d in (0, -64, -128, -256, -512, -1024)])
     rows = table(spark, sf, "supplier").select("s_suppkey", F.bround("s_acctbal").cast("long").alias("seed"))
-    return rows.select("s_suppkey", F.explode(F.array_distinct(F.transform(steps, lambda d: S.clamp(F.col("seed") + d, 0, 1133).cast("long")))).alias("budget"))
+    return rows.select("s_suppkey", F.explode(S.budgets_around(F.col("seed"), 1133)).alias("budget"))
 
 
 @query(f"""WITH {MEASURES}, p AS (SELECT d.vec_id, d.band AS donor, r.band AS receiver, round(r.energy - d.energy, 9) AS gain FROM m d JOIN m r ON d.vec_id = r.vec_id AND d.band <> r.band)
@@ -648,13 +647,15 @@ def frame_validation(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("stream_id", "frame_no", S.frame_error(F.col("left"), F.col("right"), SIZE).alias("error"))
 
 
-@query("""WITH n AS (SELECT l_suppkey AS stream_id, 4 + CAST(greatest(0, ceil((count(*) - 69) / 1024.0) - 1) AS BIGINT) AS frames FROM lineitem GROUP BY 1),
-f AS (SELECT stream_id, unnest(range(frames)) AS frame_no FROM n) SELECT stream_id, frame_no, 80 + 192 * frame_no AS first_byte, 80 + 192 * (frame_no + 1) AS end_byte FROM f""")
+@query("""WITH n AS (SELECT l_suppkey AS stream_id, [192, 304, 384][1 + l_suppkey % 3] AS size, 4 + CAST(greatest(0, ceil((count(*) - 69) / 1024.0) - 1) AS BIGINT) AS frames FROM lineitem GROUP BY 1, 2),
+f AS (SELECT stream_id, size, unnest(range(frames)) AS frame_no FROM n) SELECT stream_id, frame_no, 80 + size * frame_no AS first_byte, 80 + size * (frame_no + 1) AS end_byte FROM f""")
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Where each frame of a coded file lies."""
+    """Where each frame of a coded file of each profile lies."""
+    k = F.col("stream_id") % 3
     n = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("stream_id")).agg(FR.frame_count(F.count(F.lit(1))).alias("frames"))
-    f = n.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame_no"))
-    return f.select("stream_id", "frame_no", (80 + 192 * F.col("frame_no")).alias("first_byte"), (80 + 192 * (F.col("frame_no") + 1)).alias("end_byte"))
+    f = n.select("stream_id", F.when(k == 0, 192).when(k == 1, 304).otherwise(384).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame_no"))
+    first, end = S.frame_bytes(F.col("frame_no"), F.col("size"))
+    return f.select("stream_id", "frame_no", first.alias("first_byte"), end.alias("end_byte"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, greatest(-100, least(100, CAST(l_quantity AS BIGINT) * 5 - 120)) AS clamped,
@@ -681,7 +682,7 @@ def scale_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def active_band_count(spark: SparkSession, sf: str) -> DataFrame:
     """Bands up to the last one with a word length."""
     w = F.transform("levels", lambda v: F.when(v % 8 > 2, v % 8).otherwise(0))
-    return points(spark, sf).select("l_orderkey", F.coalesce(F.array_max(F.transform(w, lambda v, i: F.when(v > 0, i + 1).otherwise(0))), F.lit(0)).alias("bands"))
+    return points(spark, sf).select("l_orderkey", S.active_bands(w).alias("bands"))
 
 
 @query(f"""WITH g AS (SELECT vec_id, unnest(range(0, len(embedding), 4)) AS s, embedding FROM embeddings),
@@ -690,12 +691,8 @@ m AS (SELECT *, avg(factor) OVER (PARTITION BY vec_id) AS mean FROM f), r AS (SE
 SELECT vec_id, group_no, factor FROM r WHERE place <= 7""")
 def tone_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of four lines that stand out above the mean scale factor, seven at most in each block of 64 lines."""
-    starts = F.sequence(F.lit(1), F.size("embedding") - 3, F.lit(4))
-    e = embedded(spark, sf).select("vec_id", F.transform(starts, lambda s: S.scale_index(A.peak(F.slice("embedding", s, 4)))).alias("fs"))
-    mean = F.aggregate("fs", F.lit(0), lambda a, x: a + x) / F.size("fs")
-    e = e.select("vec_id", F.filter(F.transform("fs", lambda f, i: F.struct(i.alias("group_no"), f.alias("factor"))), lambda g: g["factor"] > mean + 2).alias("out"))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.slice(F.filter("out", lambda g: F.floor(g["group_no"] / 16) == b), 1, 7))
-    return e.select("vec_id", F.explode(F.flatten(blocks)).alias("g")).select("vec_id", "g.group_no", "g.factor")
+    return A.tone_groups(embedded(spark, sf), "embedding", ["vec_id"])
+
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT l_orderkey, greatest(list_max(levels), 4) - least(list_min(levels), 4) >= 3 AS attack FROM points)
@@ -703,8 +700,7 @@ SELECT l_orderkey, attack, attack OR coalesce(lag(attack) OVER (PARTITION BY l_o
 def attack_history(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a record or the one before it in its stream is an attack."""
     a = points(spark, sf).select("l_orderkey", S.is_attack(F.col("levels")).alias("attack"))
-    before = F.lag("attack").over(W.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey"))
-    return a.select("l_orderkey", "attack", (F.col("attack") | F.coalesce(before, F.lit(False))).alias("near_attack"))
+    return A.near_attacks(a, F.col("l_orderkey") % 50, "l_orderkey")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS FLOAT)::DOUBLE AS x FROM lineitem), e AS (SELECT *, CAST(floor(log2(x)) AS INTEGER) AS e FROM x)

@@ -207,6 +207,22 @@ def is_attack(levels: Column) -> Column:
     return F.array_max(seen) - F.array_min(seen) >= 3
 
 
+def active_bands(word_lengths: Column) -> Column:
+    """Bands up to the last one with a word length."""
+    return F.coalesce(F.array_max(F.transform(word_lengths, lambda v, i: F.when(v > 0, i + 1).otherwise(0))), F.lit(0))
+
+
+def budgets_around(seed: Column, most: int, steps: tuple[int, ...] = (0, -64, -128, -256, -512, -1024)) -> Column:
+    """Budgets to try around a seed, within bounds, each once."""
+    return F.array_distinct(F.transform(F.array(*[F.lit(d) for d in steps]), lambda d: clamp(seed + d, 0, most).cast("long")))
+
+
+def frame_bytes(frame_no: Column, bytes_per_frame: Column | int, header: int = 80) -> tuple[Column, Column]:
+    """First byte of a frame in a coded file, and the one behind it."""
+    size = bytes_per_frame if isinstance(bytes_per_frame, Column) else F.lit(bytes_per_frame)
+    return header + size * frame_no, header + size * (frame_no + 1)
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(Column.__and__, conditions)
 

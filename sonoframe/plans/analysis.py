@@ -103,6 +103,27 @@ def chunk_peaks(samples: DataFrame, stream: str, value: str, size: int) -> DataF
     return samples.groupBy(stream, F.floor(F.col("sample_no") / size).cast("long").alias("chunk_no")).agg(F.max(F.abs(value)).alias("peak"))
 
 
+#: Lines of a group, groups of a block, and groups that a block may give as tones; how far one must stand out.
+TONE_GROUP, TONE_BLOCK, MOST_TONES, TONE_MARGIN = 4, 16, 7, 2
+
+
+def tone_groups(spectra: DataFrame, lines: str, keep: list[str]) -> DataFrame:
+    """Groups of lines whose scale factor stands out above the spectrum's mean, the first few of each block: group_no, factor."""
+    starts = F.sequence(F.lit(1), F.size(lines) - (TONE_GROUP - 1), F.lit(TONE_GROUP))
+    rows = spectra.select(*keep, F.transform(starts, lambda s: scale_index(peak(F.slice(lines, s, TONE_GROUP)))).alias("factors"))
+    mean = F.aggregate("factors", F.lit(0), lambda a, x: a + x) / F.size("factors")
+    rows = rows.select(*keep, F.size("factors").alias("n"), F.filter(F.transform("factors", lambda f, i: F.struct(i.alias("group_no"), f.alias("factor"))), lambda g: g["factor"] > mean + TONE_MARGIN).alias("out"))
+    numbers = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / TONE_BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda b: F.slice(F.filter("out", lambda g: F.floor(g["group_no"] / TONE_BLOCK) == b), 1, MOST_TONES))
+    return rows.where("n > 0").select(*keep, F.explode(F.flatten(blocks)).alias("g")).select(*keep, "g.group_no", "g.factor")
+
+
+def near_attacks(attacks: DataFrame, stream: Column, order: str) -> DataFrame:
+    """``near_attack``: whether a record or the one before it in its stream is an ``attack``."""
+    before = F.lag("attack").over(W.partitionBy(stream).orderBy(order))
+    return attacks.withColumn("near_attack", F.col("attack") | F.coalesce(before, F.lit(False)))
+
+
 #: Chunks of a stream that one task looks at together, and those before them that a smoothed value still depends on: what
 #: lies further back counts less than 0.7 ** 256 of itself.
 BLOCK, WARM_UP = 4096, 256

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sonoframe.plans.dimensions import DELAY, DRAIN_FRAMES, FRAME
 
 OUTPUT = "stream_id string, frame_no long, left array<float>, right array<float>, error string"
-STATE = "left array<float>, right array<float>, seen long, frames long, next_chunk long, ended boolean"
+STATE = "rest binary, seen long, frames long, next_chunk long, ended boolean"
 
 
 class Framer:
@@ -24,11 +24,11 @@ class Framer:
 
     def __init__(self, state: tuple | None = None, size: int = FRAME, delay: int = DELAY):
         self.size, self.delay = size, delay
-        left, right, self.seen, self.frames, self.next_chunk, self.ended = state or ([], [], 0, 0, 0, False)
-        self.rest = np.array([left, right], np.float32)
+        rest, self.seen, self.frames, self.next_chunk, self.ended = state or (b"", 0, 0, 0, False)
+        self.rest = np.frombuffer(bytes(rest), np.float32).reshape(2, -1)
 
     def state(self) -> tuple:
-        return (self.rest[0].tolist(), self.rest[1].tolist(), self.seen, self.frames, self.next_chunk, self.ended)
+        return (self.rest.tobytes(), self.seen, self.frames, self.next_chunk, self.ended)
 
     def _give(self, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         if self.frames != 1:
