@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import io
+import json
 import math
 import re
 import sys
@@ -105,7 +105,7 @@ def in_order(rows: DataFrame, order: list[Column], sums: dict[str, str], label:
                 so_far[c] = int(upto[-1][-1]) if b.num_rows else so_far[c]
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, upto)], schema.names)
 
-    placed = keep(dealt.mapInArrow(run, schema), label)
+    placed = keep(dealt.mapInArrow(lean(run), schema), label)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one line per partition
     parts = placed.groupBy("part").agg(*[F.max(x).alias(x) for x in sums.values()])
     parts = parts.select("part", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x} before") for x in sums.values()])
@@ -152,36 +152,49 @@ def sampled(rows: DataFrame, most: int, label: str) -> DataFrame:
 
 
 def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """A line that names the arrays, their types and shapes, and then their bytes, with no copy of them in memory."""
     store, at = fs.FileSystem.from_uri(path)
     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    data = io.BytesIO()
-    np.savez(data, **arrays)
+    arrays = {name: np.ascontiguousarray(x) for name, x in arrays.items()}
     with store.open_output_stream(at, compression=None) as out:
-        out.write(data.getbuffer())
+        head = json.dumps([(name, x.dtype.str, x.shape) for name, x in arrays.items()]).encode()
+        out.write(head + b" " * (-(len(head) + 1) % 64) + b"\n")
+        for x in arrays.values():
+            data = x.reshape(-1).view(np.uint8) if x.size else np.zeros(0, np.uint8)
+            out.write(data)
+            out.write(bytes(-len(data) % 64))
 
 
 def load_arrays(path: str) -> dict[str, np.ndarray]:
+    """The arrays of such a file, all views of one buffer."""
     store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_file(at) as source, np.load(io.BytesIO(source.read())) as found:
-        return {name: found[name] for name in found.files}
+    with store.open_input_file(at) as source:
+        data = np.frombuffer(source.read_buffer(), np.uint8)
+    end = int(np.flatnonzero(data[: 1 << 16] == 10)[0]) + 1
+    out = {}
+    for name, kind, shape in json.loads(data[:end].tobytes()):
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[name] = data[end : end + size].view(kind).reshape(shape)
+        end += size + -size % 64
+    return out
 
 
 def built_file(rows: DataFrame, make: Callable[[pa.Table | None], dict[str, np.ndarray]], label: str) -> str:
     """Path of a file in the shared folder with the arrays that ``make`` makes of a whole table (None: no rows), whose size
-    was checked. One task builds it, so neither the driver nor a broadcast holds it; a task that runs again writes its own."""
+    was checked; workers load it for a task and let it go. One task builds it, so neither the driver nor a broadcast holds it; a task that runs again writes its own."""
     path = fresh_path(rows.sparkSession, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
-        at = f"{path}-{TaskContext.get().taskAttemptId()}.npz"
+        at = f"{path}-{TaskContext.get().taskAttemptId()}.arrays"
         save_arrays(at, make(pa.Table.from_batches(found) if found else None))
         yield pa.RecordBatch.from_pydict({"path": [at]})
 
     done = rows.coalesce(1).mapInArrow(lean(run), "path string").collect()
     if done:
         return done[0]["path"]
-    save_arrays(f"{path}.npz", make(None))
-    return f"{path}.npz"
+    save_arrays(f"{path}.arrays", make(None))
+    return f"{path}.arrays"
 
 
 def lean(run: Callable) -> Callable:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +169,6 @@ class LanguageModel:
         return out.astype(np.float32)
 
 
-@lru_cache(1)
 def loaded(path: str) -> LanguageModel:
     return LanguageModel.of_arrays(load_arrays(path))
 

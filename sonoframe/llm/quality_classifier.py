@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +90,7 @@ class Featurizer:
         if len(self.known):
             of = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             hit = self.known[of] == h
-            rows[hit, :DIM] += self.context[of[hit]] * NONZERO**0.5
+            rows[hit, :DIM] += self.context[of[hit]].astype(np.float32) * np.float32(NONZERO**0.5)
         return rows.ravel(), np.full(len(words), DIM + 1)
 
     def vectors(self, texts: pa.Array) -> np.ndarray:
@@ -186,7 +185,6 @@ def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pieces.to_numpy(zero_copy_only=False), n
 
 
-@lru_cache(1)
 def word_vectors(path: str) -> tuple[np.ndarray, np.ndarray]:
     found = load_arrays(path)
     return found["known"], found["context"]
@@ -229,11 +227,14 @@ def sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def make_vectors(table: pa.Table | None) -> dict[str, np.ndarray]:
     if table is None:
-        return {"known": np.zeros(0, np.uint64), "context": np.zeros((0, DIM), np.float32)}
+        return {"known": np.zeros(0, np.uint64), "context": np.zeros((0, DIM), np.float16)}
     known = table["word"].to_numpy().view(np.uint64)
     order = np.argsort(known)
-    context = np.stack([table[c].to_numpy() for c in CONTEXT], 1)[order].astype(np.float32)
-    return {"known": known[order], "context": context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)}
+    context = np.empty((len(known), DIM), np.float32)
+    for k, c in enumerate(CONTEXT):  # column by column, which bounds memory
+        context[:, k] = table[c].to_numpy()[order]
+    context /= np.maximum(np.sqrt(np.einsum("ij,ij->i", context, context)), 1e-6)[:, None]
+    return {"known": known[order], "context": context.astype(np.float16)}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[str, Network]:

@@ -120,7 +120,7 @@ def test_word_vectors_against_brute_force(corpus):
     assert len(known) == len(sums)
     for w, v in sums.items():
         at = int(np.searchsorted(known, Q.hashes([w])[0]))
-        assert context[at] == pytest.approx(v / max(np.linalg.norm(v), 1e-6), abs=1e-5)
+        assert context[at] == pytest.approx(v / max(np.linalg.norm(v), 1e-6), abs=1e-3)  # half precision
 
 
 def test_small_samples_are_bounded(spark, corpus, monkeypatch):
