@@ -611,10 +611,26 @@ def spectra_with_factors(spark: SparkSession, sf: str) -> DataFrame:
     return embedded(spark, sf).select("vec_id", "embedding", F.transform(bands, lambda s: S.scale_index(A.peak(F.slice("embedding", s + 1, 8)))).alias("factors"))
 
 
-@query()
+def numbers(values) -> str:
+    """SQL list of numbers."""
+    return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
+
+
+RESIDUAL_SCALES = "[" + ", ".join(numbers(residual.quantizer_scale(m, f) for f in range(64)) for m in residual.MODES) + "]"
+RESIDUAL_LENGTHS = "[" + ", ".join(str([int(n) for n in residual.tables(m)[0]]) for m in residual.MODES) + "]"
+RESIDUAL_VALUES = "[" + ", ".join("[" + ", ".join(numbers(v) for v in residual.tables(m)[1]) + "]" for m in residual.MODES) + "]"
+
+
+@query(f"""WITH {FACTORS}, modes(mode, n) AS (VALUES (0, 1), {", ".join(f"({m}, {1 << residual.SYMBOL_BITS[m]})" for m in residual.MODES)}),
+s AS (SELECT vec_id, band, mode, xs, {SCALE_LIST}[scale_factor + 1] AS scale,
+  CASE WHEN mode = 0 THEN [] ELSE list_transform(xs, lambda x: ((CAST(round_even(x::DOUBLE * {RESIDUAL_SCALES}[mode][scale_factor + 1], 0) AS BIGINT) % n) + n) % n) END AS s FROM factors, modes),
+c AS (SELECT *, CASE WHEN mode = 1 THEN list_transform(range(1, len(s), 2), lambda i: s[i] * 4 + s[i + 1]) ELSE s END AS codes FROM s),
+v AS (SELECT *, CASE WHEN mode = 0 THEN list_transform(xs, lambda x: 0.0::DOUBLE) ELSE flatten(list_transform(codes, lambda k: {RESIDUAL_VALUES}[mode][k + 1])) END AS parts FROM c)
+SELECT vec_id, CAST(band AS INTEGER) AS band, CAST(mode AS INTEGER) AS mode, CAST(CASE WHEN mode = 0 THEN 0 ELSE 6 + list_sum(list_transform(codes, lambda k: {RESIDUAL_LENGTHS}[mode][k + 1])) END AS INTEGER) AS bits,
+  round(list_sum(list_transform(range(1, len(xs) + 1), lambda i: pow(xs[i]::DOUBLE - CAST(CAST(parts[i] AS FLOAT) * CAST(scale AS FLOAT) AS FLOAT)::DOUBLE, 2))), 6) AS error FROM v""")
 def residual_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Bits and error of each band and mode at the band's own scale factor."""
-    return residual.band_costs(spectra_with_factors(spark, sf), ["vec_id"], "embedding", "factors").withColumn("error", F.round("error", 9))
+    return residual.band_costs(spectra_with_factors(spark, sf), ["vec_id"], "embedding", "factors").withColumn("error", F.round("error", 6))
 
 
 @query()
